@@ -137,9 +137,13 @@ def with_previous(
 
 def with_index(
     df: DataFrame, keys: Sequence[str], order: str, index: str = "idx", size: str = "n",
-    max_rows: int = MAX_ROWS,
+    max_rows: int = MAX_ROWS, keep_cell: bool = False,
 ) -> DataFrame:
-    """Add the row's position in its key (from 0) and the number of rows of the key."""
+    """Add the row's position in its key (from 0) and the number of rows of the key.
+
+    With ``keep_cell`` the cell number stays; rows are then partitioned by
+    (keys, cell).
+    """
     splits = hot_splits(df, keys, order, max_rows)
     cell = Window.partitionBy(*keys, CELL)
     inside = (
@@ -159,6 +163,7 @@ def with_index(
     joined = _join_small(inside, offsets, [*keys, CELL], "left")
     return joined.select(
         *df.columns,
+        *([CELL] if keep_cell else []),
         (F.col("_i") + F.coalesce("_offset", F.lit(0))).cast("bigint").alias(index),
         F.coalesce("_total", "_m").alias(size),
     )
