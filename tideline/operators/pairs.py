@@ -11,7 +11,8 @@ from tideline.operators.windowed import window_agg
 SIDES = ("warnings", "tweets")
 
 
-def _resolve(pairs: DataFrame, one_sided: str) -> DataFrame:
+def resolve_one_sided(pairs: DataFrame, one_sided: str) -> DataFrame:
+    """Treat symbols that have only one of the two counts (see :func:`count_pairs`)."""
     a, b = SIDES
     if one_sided == "zero":
         return pairs
@@ -43,7 +44,7 @@ def count_pairs(
         tagged, window, ["symbol"],
         F.count_if("_w").alias(SIDES[0]), F.count_if(~F.col("_w")).alias(SIDES[1]),
     )
-    return _resolve(pairs, one_sided)
+    return resolve_one_sided(pairs, one_sided)
 
 
 def cogroup_counts(
@@ -55,7 +56,7 @@ def cogroup_counts(
     tagged = warnings.select(*key, F.col("count").alias(a), F.lit(0).cast("bigint").alias(b)).unionByName(
         tweets.select(*key, F.lit(0).cast("bigint").alias(a), F.col("count").alias(b))
     )
-    return _resolve(tagged.groupBy(*key).agg(F.sum(a).alias(a), F.sum(b).alias(b)), one_sided)
+    return resolve_one_sided(tagged.groupBy(*key).agg(F.sum(a).alias(a), F.sum(b).alias(b)), one_sided)
 
 
 def join_counts(warnings: DataFrame, tweets: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from tideline.operators import (
 )
 from tideline.plans import stocks, tolls
 from tideline.sources import lines, tables
+from tideline.streaming import native, panes, replay
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -418,3 +419,62 @@ def text_lines(spark, d):
         "conv_id", "turn", F.length("text").alias("width"),
         txt.without_padding("text", lines.TEXT_PADDING).alias("text"), "value",
     )
+
+
+# -- streams over the tables ------------------------------------------------------
+
+
+@_query
+def stream_two_panes(spark, d):
+    """Late events replayed in three steps; panes as the watermark passes windows."""
+    native.use_rocksdb(spark)
+    feed = tables.late_feed(spark, d).select(
+        "key", "value", F.timestamp_millis("ts_ms").alias("event_time"), "arrival"
+    )
+    count = feed.agg(F.max("arrival") + 1).scalar()
+    step = (F.col("arrival") * 3 / count).cast("int")
+    out = replay.replay(
+        feed, step, 3, lambda s: panes.two_panes(s, ["key"], DAY_MS, LATENESS_MS, "value")
+    )
+    return out.withColumn("total", _r6("total"))
+
+
+@_query
+def stream_segment_speed(spark, d):
+    def job(lineitem):
+        reports = tables.zoned(tables.vehicles_of(lineitem))
+        return tolls.segment_speed(native.allow_late(reports, 60 * DAY_MS, 1), ROAD_WINDOW)
+
+    return _zoneless(replay.once(tables.stream_table(spark, d, "lineitem"), job))
+
+
+@_query
+def stream_tolls(spark, d):
+    def job(lineitem):
+        reports = tables.zoned(tables.vehicles_of(lineitem))
+        return tolls.tolls(native.allow_late(reports, 60 * DAY_MS, 1), ROAD_WINDOW)
+
+    native.use_rocksdb(spark)
+    return _zoneless(replay.once(tables.stream_table(spark, d, "lineitem"), job))
+
+
+@_query
+def stream_correlation(spark, d):
+    def job(events):
+        return stocks.correlation_stream(
+            tables.zoned(tables.prices_of(events)), tables.zoned(tables.mentions_of(events)),
+            DAY_MS, 1,
+        )
+
+    native.use_rocksdb(spark)
+    out = replay.once(tables.stream_table(spark, d, "events"), job)
+    return _zoneless(out.withColumn("correlation", _r6("correlation")))
+
+
+@_query
+def stream_delta_trigger(spark, d):
+    native.use_rocksdb(spark)
+    return replay.once(
+        tables.stream_table(spark, d, "events"),
+        lambda events: panes.delta_stream(tables.prices_of(events), ["symbol"]),
+    )

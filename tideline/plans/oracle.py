@@ -163,6 +163,35 @@ SELECT window_start, window_end, car_id, abs_seg, lane, pos, {which}_speed AS sp
 FROM stopped"""
 
 
+def _closed(delay_ms: int, table: str = "lineitem", time: str = "l_shipdate") -> str:
+    return (
+        f"epoch_us(window_end) <= ((SELECT max(epoch_us({time}) // 1000) FROM {table})"
+        f" - {delay_ms}) * 1000"
+    )
+
+
+def _stream_panes() -> str:
+    last = f"start_ms + {DAY_MS - 1}"
+    late = 23 * HOUR_MS
+    return f"""WITH f AS (
+  SELECT event_type AS key, value,
+         CAST(trunc(event_id * 3 / (SELECT max(event_id) + 1 FROM events)) AS INTEGER) AS part,
+         epoch_us(ts) // 1000 - event_id % 4 * {12 * HOUR_MS} AS ms FROM events),
+latest AS (SELECT part, max(ms) AS mx FROM f GROUP BY part),
+marks AS (SELECT a.part, (SELECT max(b.mx) FROM latest b WHERE b.part < a.part) AS wm FROM latest a),
+c AS (
+  SELECT key, value, start_ms,
+         CASE WHEN wm IS NULL THEN 'on_time' WHEN {last} + {late} <= wm THEN 'dropped'
+              WHEN {last} <= wm THEN 'late' ELSE 'on_time' END AS lateness
+  FROM (SELECT f.*, ms // {DAY_MS} * {DAY_MS} AS start_ms, wm FROM f JOIN marks USING (part)))
+SELECT key, start_ms AS window_start_ms, 'on_time' AS pane, count(*) AS n,
+       round(sum(value), 6) + 0.0 AS total
+FROM c WHERE lateness = 'on_time' AND {last} <= (SELECT max(ms) FROM f) GROUP BY ALL
+UNION ALL
+SELECT key, start_ms, 'final', count(*), round(sum(value), 6) + 0.0
+FROM c WHERE lateness <> 'dropped' AND {last} + {late} <= (SELECT max(ms) FROM f) GROUP BY ALL"""
+
+
 def all_sql() -> dict[str, str]:
     throughput = (
         "SELECT {w}, count(*) AS n, count(*) // {s} AS per_second FROM events GROUP BY ALL"
@@ -292,6 +321,18 @@ def all_sql() -> dict[str, str]:
             SELECT arrival, (epoch_us(event_time) // 1000) AS time, car_id, speed, 1 AS xway, lane, dir,
                    abs_seg AS seg, pos, 100 + abs_seg AS abs_seg, event_time
             FROM vehicles WHERE lane = 0""",
+        # Streams: a window is out once the watermark, the latest event time less
+        # the allowed delay, has passed its end.
+        "stream_two_panes": _stream_panes(),
+        "stream_segment_speed": f"""WITH {VEHICLES}, {SPEED}
+            SELECT s.* FROM speeds s WHERE {_closed(60 * DAY_MS - 1)}""",
+        "stream_tolls": f"SELECT * FROM ({TOLLS}) s WHERE {_closed(60 * DAY_MS - 1)}",
+        "stream_correlation": PAIRS + f"""SELECT window_start, window_end,
+            round(covar_pop(warnings, tweets) / (stddev_pop(warnings) * stddev_pop(tweets)), 6)
+              + 0.0 AS correlation
+            FROM ({MIRROR}) s WHERE {_closed(2 * DAY_MS - 1, 'events', 'ts')} GROUP BY ALL""",
+        "stream_delta_trigger": f"""WITH RECURSIVE {_recursive_delta('symbol')}
+            SELECT symbol, price, event_time, arrival FROM s WHERE fired""",
         "text_lines": """SELECT conv_id, turn, CAST(length(text) + 3501 AS INTEGER) AS width, text,
             1 AS value FROM conversations WHERE length(text) > 0""",
     }

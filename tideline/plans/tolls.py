@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators.windowed import first_row, last_row, mean_and_count, window_agg
+from tideline.functions.windows import tumbling, window_bounds
+from tideline.operators.windowed import first_row, last_row, mean_and_count
 
 # Fixed values of the toll formula.
 STOPPED_REPORTS = 4
@@ -34,17 +35,19 @@ def stopped_vehicles(reports: DataFrame, window: str, keep: str = "first") -> Da
     return grouped.where(F.col("n") >= STOPPED_REPORTS)
 
 
-def accidents(reports: DataFrame, window: str) -> DataFrame:
-    """Locations where two or more vehicles stopped in a window."""
-    per_car = window_agg(
-        reports, window, ["car_id", *LOCATION], F.count(F.lit(1)).alias("n")
+def _stopped_places(reports: DataFrame, window: str) -> DataFrame:
+    per_car = reports.groupBy(tumbling(window).alias("window"), "car_id", *LOCATION).agg(
+        F.count(F.lit(1)).alias("n")
     ).where(F.col("n") >= STOPPED_REPORTS)
-    per_place = per_car.groupBy("window_start", "window_end", *LOCATION).agg(
-        F.count(F.lit(1)).alias("vehicles")
-    )
+    per_place = per_car.groupBy("window", *LOCATION).agg(F.count(F.lit(1)).alias("vehicles"))
     return per_place.where(F.col("vehicles") >= ACCIDENT_VEHICLES)
 
 
+def accidents(reports: DataFrame, window: str) -> DataFrame:
+    """Locations where two or more vehicles stopped in a window."""
+    return window_bounds(_stopped_places(reports, window))
+
+
 def toll(avg_speed: Column, n: Column, accident: Column) -> Column:
     """Toll of a segment: free after an accident, in free flow or when few drive."""
     free = accident | (avg_speed > FREE_FLOW_SPEED) | (n <= FREE_VEHICLES)
@@ -57,22 +60,22 @@ def tolls(reports: DataFrame, window: str) -> DataFrame:
     One scan rolled up three times: reports per (car, location), then per
     location with its number of stopped vehicles, then per segment. The segment
     statistic and the accidents come out of the same rows, so nothing is joined.
+    The same plan runs on a stream with a watermark, in append mode.
     """
-    per_car = window_agg(
-        reports, window, ["car_id", *LOCATION],
-        F.sum("speed").alias("speed"), F.count(F.lit(1)).alias("n"),
+    per_car = reports.groupBy(tumbling(window).alias("window"), "car_id", *LOCATION).agg(
+        F.sum("speed").alias("speed"), F.count(F.lit(1)).alias("n")
     )
-    per_place = per_car.groupBy("window_start", "window_end", *LOCATION).agg(
+    per_place = per_car.groupBy("window", *LOCATION).agg(
         F.sum("speed").alias("speed"),
         F.sum("n").alias("n"),
         F.count_if(F.col("n") >= STOPPED_REPORTS).alias("stopped"),
     )
-    per_segment = per_place.groupBy("window_start", "window_end", "abs_seg").agg(
+    per_segment = per_place.groupBy("window", "abs_seg").agg(
         F.sum("speed").alias("speed"),
         F.sum("n").alias("n"),
         F.max(F.col("stopped") >= ACCIDENT_VEHICLES).alias("accident"),
     )
-    return per_segment.select(
+    return window_bounds(per_segment).select(
         "window_start", "window_end", "abs_seg",
         toll(F.expr("speed div n"), F.col("n"), F.col("accident")).alias("toll"),
     )

@@ -22,7 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table as a stream of the files it consists of."""
+    schema = table(spark, sf_dir, name).schema
+    # As a glob the name may be a folder of files or a single file.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{{{name}}}.parquet")
+
+
+def zoned(df: DataFrame) -> DataFrame:
+    """Event time with a zone, which is what watermarks ask for."""
+    return df.withColumn("event_time", F.col("event_time").cast("timestamp"))
+
+
 def vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vehicles_of(table(spark, sf_dir, "lineitem"))
+
+
+def vehicles_of(lineitem: DataFrame) -> DataFrame:
     """Position reports from ``lineitem``.
 
     (order, line) is not unique, so the arrival number also holds the speed and
@@ -33,7 +49,7 @@ def vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
     speed = F.col("l_quantity").cast("int")
     arrival = ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 64 + speed) * 4096 + days
     seg = F.col("l_suppkey") % 25
-    reports = table(spark, sf_dir, "lineitem").select(
+    reports = lineitem.select(
         F.col("l_shipdate").alias("event_time"),
         F.col("l_suppkey").cast("int").alias("car_id"),
         speed.alias("speed"),
@@ -48,8 +64,12 @@ def vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prices_of(table(spark, sf_dir, "events"))
+
+
+def prices_of(events: DataFrame) -> DataFrame:
     """Price ticks from ``events``."""
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("symbol"),
         F.col("value").alias("price"),
         F.col("ts").alias("event_time"),
@@ -58,11 +78,13 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mentions_of(table(spark, sf_dir, "events"))
+
+
+def mentions_of(events: DataFrame) -> DataFrame:
     """Symbol mentions: the ``view`` rows of ``events``."""
-    return (
-        table(spark, sf_dir, "events")
-        .where(F.col("event_type") == "view")
-        .select(F.col("user_id").alias("symbol"), F.col("ts").alias("event_time"))
+    return events.where(F.col("event_type") == "view").select(
+        F.col("user_id").alias("symbol"), F.col("ts").alias("event_time")
     )
 
 
