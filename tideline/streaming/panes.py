@@ -244,8 +244,9 @@ def early_late_panes(
 class _Scan(StatefulProcessor):
     """Visit the rows of a key by arrival, with one stored row as memory."""
 
-    def __init__(self, columns, price, arrival, threshold, clock):
-        self.columns, self.price, self.arrival = columns, price, arrival
+    def __init__(self, inputs, columns, price, arrival, threshold, clock):
+        self.inputs, self.columns = inputs, columns
+        self.price, self.arrival = price, arrival
         self.threshold, self.clock = threshold, clock
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -254,7 +255,10 @@ class _Scan(StatefulProcessor):
             if self.clock.too_late(start, self.clock.now(timerValues)):
                 return
             self.handle.registerTimer(self.clock.purge_timer(start))
-        pdf = pd.concat(list(rows)).sort_values(self.arrival)
+        pdf = pd.concat(list(rows))
+        # Computed columns may come in under a made-up name, but in order.
+        pdf.columns = self.inputs
+        pdf = pdf.sort_values(self.arrival)
         hits = self.visit(pdf)
         if len(hits):
             yield hits[self.columns]
@@ -323,10 +327,10 @@ def delta_stream(
     is over; without one it is kept per key for good.
     """
     if window_ms is None:
-        scan = _DeltaScan(df.columns, price, arrival, threshold, None)
+        scan = _DeltaScan(df.columns, df.columns, price, arrival, threshold, None)
         return df.groupBy(*keys).transformWithStateInPandas(scan, df.schema, "Append", "None")
     held, clock = _held(df, window_ms, lateness_ms)
-    scan = _DeltaScan(held.columns, price, arrival, threshold, clock)
+    scan = _DeltaScan(held.columns, held.columns, price, arrival, threshold, clock)
     schema = T.StructType.fromJson(held.schema.jsonValue())
     return held.groupBy(*keys, START).transformWithStateInPandas(scan, schema, "Append", "EventTime")
 
@@ -346,7 +350,7 @@ def warning_stream(
     held = held.withColumn("_us", F.unix_micros("event_time"))
     columns = ["symbol", "price", "event_time", "arrival", START]
     schema = T.StructType([T.StructField(c, held.schema[c].dataType) for c in columns])
-    scan = _WarningScan(columns, "price", "arrival", threshold, clock)
+    scan = _WarningScan(held.columns, columns, "price", "arrival", threshold, clock)
     return held.groupBy("symbol", START).transformWithStateInPandas(
         scan, schema, "Append", "EventTime", eventTimeColumnName="event_time"
     )
