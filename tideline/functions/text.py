@@ -24,13 +24,13 @@ def words(text: str | Column) -> Column:
     )
 
 
-def ngrams(text: str | Column, n: int = 2) -> Column:
-    """Word n-grams glued without a separator.
+def ngrams(words: str | Column, n: int = 2) -> Column:
+    """Word n-grams of an array of words, glued without a separator.
 
-    A text of fewer than ``n`` words gives one partial gram, a text without
-    words gives none.
+    Fewer than ``n`` words give one partial gram, no words give none. Pass a
+    column name, so that the words are not split again for every gram.
     """
-    w = words(text)
+    w = _col(words)
     last_start = F.greatest(F.size(w) - n + 1, F.lit(1))
     grams = F.transform(
         F.sequence(F.lit(1), last_start),

@@ -15,10 +15,9 @@ from tideline.functions.windows import tumbling
 from tideline.operators.ordered import (
     CELL,
     MAX_ROWS,
-    _join_small,
-    all_cells,
-    hot_cells,
-    hot_splits,
+    Cells,
+    cut,
+    join_small,
     with_following,
     with_next,
 )
@@ -45,7 +44,7 @@ def price_warnings(
     """
     flat = with_window(prices, window)
     pairs = with_next(
-        flat, ["symbol", "window_start", "window_end"], "arrival",
+        flat, ["symbol", "window_start"], "arrival",
         {"next_price": "price", "next_arrival": "arrival"}, max_rows,
     )
     test = changed or (lambda old, new: price_changed(old, new, threshold))
@@ -60,7 +59,7 @@ def _moved(ref: float, price: float, threshold: float) -> bool:
     return abs(ref / price - 1.0) > threshold
 
 
-def _sorted_cells(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def _in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Rows of a group side by side in order, the first one marked ``_start``."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_start", F.row_number().over(w) == 1)
@@ -208,26 +207,32 @@ def delta_trigger(
     then walked through by these traces, and at last all cells are scanned in
     parallel from their known entry price.
     """
-    splits = hot_splits(prices, keys, order, max_rows)
-    by = [*keys, CELL]
+    cells = cut(prices, keys, order, max_rows)
+    rows = cells.of(prices)
+    if cells.splits is None:
+        rows = rows.withColumn("_entry", F.lit(None).cast("double"))
+    else:
+        rows = join_small(rows, _entry_prices(prices, cells, price, threshold), cells.by, "left")
+    rows = _in_order(rows, cells.by, [order])
+    out = T.StructType(list(rows.schema.fields) + [T.StructField("_fired", T.BooleanType())])
+    return rows.mapInArrow(_fire(price, threshold), out).where("_fired").select(*prices.columns)
 
-    hot = hot_cells(prices.select(*keys, order, price), splits, keys, order)
-    hot = _sorted_cells(hot.select(*by, order, F.col(price).cast("double").alias(price)), by, [order])
-    fields = [hot.schema[c] for c in by]
+
+def _entry_prices(prices: DataFrame, cells: Cells, price: str, threshold: float) -> DataFrame:
+    """The reference price each cell of a hot key is entered with."""
+    keys = cells.keys
+    hot = cells.hot(prices.select(*keys, cells.order, F.col(price).cast("double").alias(price)))
+    fields = [hot.schema[c] for c in cells.by]
     traced = T.StructType(fields + [
         T.StructField("_at", T.LongType()),
         T.StructField("_price", T.DoubleType()),
         T.StructField("_exit", T.DoubleType()),
     ])
-    traces = hot.mapInArrow(_trace(keys, price, threshold), traced)
+    traces = _in_order(hot, cells.by, [cells.order]).mapInArrow(
+        _trace(keys, price, threshold), traced
+    )
     entered = T.StructType(fields + [T.StructField("_entry", T.DoubleType())])
-    entries = _sorted_cells(traces, keys, [CELL, "_at"]).mapInArrow(_enter(keys, threshold), entered)
-
-    rows = all_cells(prices, splits, keys, order)
-    rows = _join_small(rows, entries, by, "left")
-    rows = _sorted_cells(rows, by, [order])
-    out = T.StructType(list(rows.schema.fields) + [T.StructField("_fired", T.BooleanType())])
-    return rows.mapInArrow(_fire(price, threshold), out).where("_fired").select(*prices.columns)
+    return _in_order(traces, keys, [CELL, "_at"]).mapInArrow(_enter(keys, threshold), entered)
 
 
 def evicted_delta_trigger(

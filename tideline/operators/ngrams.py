@@ -16,10 +16,10 @@ def ngram_counts(
     window: str | Column | None = None,
 ) -> DataFrame:
     """How often each n-gram (of 2 up to ``n`` words) occurs per group."""
-    sizes = [txt.ngrams(text, size) for size in range(2, n + 1)]
-    grams = F.concat(*sizes)
     keep = [*keys] if window is None else [*keys, "event_time"]
-    rows = df.select(*keep, F.explode(grams).alias("ngram"))
+    split = df.select(*keep, txt.words(text).alias("_words"))
+    grams = F.concat(*[txt.ngrams("_words", size) for size in range(2, n + 1)])
+    rows = split.select(*keep, F.explode(grams).alias("ngram"))
     count = F.count(F.lit(1)).alias("n")
     if window is None:
         return rows.groupBy(*keys, "ngram").agg(count)

@@ -70,8 +70,10 @@ def dft(
     groups = [*keys, "_n"]
 
     # A short group lies in one cell; naming the cell saves a second shuffle.
-    whole_cell = [*groups, CELL] if max_rows >= max_points else groups
-    short = _pieces(indexed.where(F.col("_n") <= max_points), whole_cell, "_j", "_n", inverse)
+    cell = [CELL] if CELL in indexed.columns and max_rows >= max_points else []
+    short = _pieces(
+        indexed.where(F.col("_n") <= max_points), [*groups, *cell], "_j", "_n", inverse
+    )
     done = short.select(*keys, F.col("_bin").alias("bin"), "re", "im")
 
     # n2 = 2^floor(bits / 2), n1 = n / n2

@@ -40,9 +40,11 @@ def stream_lines(spark: SparkSession, path: str, max_files: int | None = None) -
 
 
 def _parsed(
-    lines: DataFrame, fields: dict[str, tuple[Column, str]], shape_ok: Column, permissive: bool
+    lines: DataFrame, fields: dict[str, tuple[Column, str]], shape_ok: Column, permissive: bool,
+    separator: str = " ",
 ) -> DataFrame:
     rest = [c for c in lines.columns if c != "value"]
+    lines = lines.withColumn("_el", F.split("value", separator))
     if not permissive:
         checked = lines.where(
             F.when(shape_ok, F.lit(True)).otherwise(
@@ -62,7 +64,7 @@ def _stamped(df: DataFrame) -> DataFrame:
 
 def stock_prices(lines: DataFrame, permissive: bool = False) -> DataFrame:
     """``symbol price ts`` lines, blank separated, ``ts`` in milliseconds."""
-    el = F.split("value", " ")
+    el = F.col("_el")
     fields = {
         "symbol": (F.get(el, F.lit(0)), "string"),
         "price": (F.get(el, F.lit(1)), "double"),
@@ -84,7 +86,7 @@ def tweets(lines: DataFrame, permissive: bool = False) -> DataFrame:
 
 def triples(lines: DataFrame, permissive: bool = False) -> DataFrame:
     """``text value seq`` lines of exactly three words."""
-    el = F.split("value", " ")
+    el = F.col("_el")
     fields = {
         "text": (F.get(el, F.lit(0)), "string"),
         "number": (F.get(el, F.lit(1)), "int"),
@@ -118,7 +120,7 @@ def vehicle_reports(lines: DataFrame, permissive: bool = False) -> DataFrame:
     Lines of other record types are left out before any field is cast. ``time``
     is in milliseconds.
     """
-    el = F.split("value", ",")
+    el = F.col("_el")
     types = {"time": "bigint"}
     fields = {
         name: (F.get(el, F.lit(i)), types.get(name, "int"))
@@ -126,7 +128,7 @@ def vehicle_reports(lines: DataFrame, permissive: bool = False) -> DataFrame:
         if name != "type"
     }
     of_type = lines.where(F.substring_index("value", ",", 1) == F.lit(str(POSITION_REPORT)))
-    reports = _parsed(of_type, fields, F.size(el) >= len(VEHICLE_FIELDS), permissive)
+    reports = _parsed(of_type, fields, F.size(el) >= len(VEHICLE_FIELDS), permissive, ",")
     return with_segment(reports).withColumn("event_time", F.timestamp_millis("time"))
 
 
