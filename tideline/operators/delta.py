@@ -94,17 +94,26 @@ class _CellTrace:
     Prices of a positive feed fire an entry price for the first time at a new
     highest or lowest price, so only these rows are kept, each with the
     reference price that the cell is left with after firing there. References
-    that fire at the same row go on as one.
+    that fire at the same row go on as one, and neighbouring rows that have come
+    to share their reference are kept as one price range. Once all entry prices
+    from ``least`` to ``most``, the range of the cells before, have fired, no
+    further row is kept; the first cell of a key (no range) keeps its first row.
     """
 
-    def __init__(self, threshold: float):
+    COMPACT_AT = 10_000
+
+    def __init__(self, threshold: float, least: float | None, most: float | None):
         self.threshold = threshold
+        self.least, self.most = least, most
+        self.complete = False
         self.low = self.high = None
         self.position = 0
+        # Reference prices by number, and the reference each has gone over to.
         self.refs: list[float] = []
         self.parents: list[int] = []
         self.active: list[tuple[float, int]] = []
-        self.records: list[tuple[int, float, int]] = []
+        # Position, lowest and highest price, reference number.
+        self.records: list[tuple[int, float, float, int]] = []
 
     def add(self, price: float) -> None:
         fired = []
@@ -112,52 +121,97 @@ class _CellTrace:
             fired.append(self.active.pop(0)[1])
         while self.active and _moved(self.active[-1][0], price, self.threshold):
             fired.append(self.active.pop()[1])
-        record = price <= 0 or self.high is None or price > self.high or price < self.low
+        record = not self.complete and (
+            price <= 0 or self.high is None or price > self.high or price < self.low
+        )
         if price > 0:
             self.high = price if self.high is None else max(self.high, price)
             self.low = price if self.low is None else min(self.low, price)
-        if fired or record or self.position == 0:
+        if record:
+            self.complete = self._all_fired()
+        if fired or record:
             node = len(self.refs)
             self.refs.append(price)
             self.parents.append(node)
             for old in fired:
                 self.parents[old] = node
             insort(self.active, (price, node))
-            if record or self.position == 0:
-                self.records.append((self.position, price, node))
+            if record:
+                self.records.append((self.position, price, price, node))
         self.position += 1
-
-    def result(self) -> list[tuple[int, float, float]]:
-        # A later node never points to an earlier one, so ends are known backwards.
-        ends = list(self.refs)
+        if len(self.refs) >= max(self.COMPACT_AT, 2 * len(self.active)):
+            self._compact()
+
+    def _all_fired(self) -> bool:
+        if self.most is None:
+            return True
+        if self.high is None:
+            return False
+        above = self.high > self.most and (
+            self.most <= 0 or _moved(self.most, self.high, self.threshold)
+        )
+        below = 0 < self.low < self.least and _moved(self.least, self.low, self.threshold)
+        return above or below
+
+    def _roots(self) -> list[int]:
+        # A reference only ever goes over to a later one.
+        roots = list(range(len(self.refs)))
         for node in range(len(self.refs) - 1, -1, -1):
             if self.parents[node] != node:
-                ends[node] = ends[self.parents[node]]
-        return [(at, price, ends[node]) for at, price, node in self.records]
+                roots[node] = roots[self.parents[node]]
+        return roots
+
+    def _compact(self) -> None:
+        roots = self._roots()
+        alive = sorted(node for _, node in self.active)
+        number = {node: i for i, node in enumerate(alive)}
+        merged: list[tuple[int, float, float, int]] = []
+        for at, low, high, node in self.records:
+            root = number[roots[node]]
+            last = merged[-1] if merged else None
+            if last and last[3] == root and low > 0 and last[1] > 0 and last[0] > 0:
+                merged[-1] = (last[0], min(last[1], low), max(last[2], high), root)
+            else:
+                merged.append((at, low, high, root))
+        self.refs = [self.refs[node] for node in alive]
+        self.parents = list(range(len(alive)))
+        self.active = [(ref, number[node]) for ref, node in self.active]
+        self.records = merged
+
+    def result(self) -> list[tuple[int, float, float, float]]:
+        self._compact()
+        return [(at, low, high, self.refs[node]) for at, low, high, node in self.records]
+
+
+# What a cell trace holds, besides keys and cell number.
+_TRACE = T.StructType([
+    T.StructField("_at", T.LongType()),
+    T.StructField("_low", T.DoubleType()),
+    T.StructField("_high", T.DoubleType()),
+    T.StructField("_exit", T.DoubleType()),
+])
 
 
 def _trace(keys: Sequence[str], price: str, threshold: float):
     def emit(key: pa.RecordBatch, trace: _CellTrace) -> pa.RecordBatch:
         found = trace.result()
-        cols = key.take(pa.array([0] * len(found), pa.int64())).columns
-        cols = list(cols) + [
-            pa.array([r[0] for r in found], pa.int64()),
-            pa.array([r[1] for r in found], pa.float64()),
-            pa.array([r[2] for r in found], pa.float64()),
-        ]
-        return pa.RecordBatch.from_arrays(cols, names=[*keys, CELL, "_at", "_price", "_exit"])
+        columns = list(key.take(pa.array([0] * len(found), pa.int64())).columns)
+        for i, kind in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.float64())):
+            columns.append(pa.array([r[i] for r in found], kind))
+        return pa.RecordBatch.from_arrays(columns, names=[*keys, CELL, *_TRACE.names])
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, trace = None, None
         for batch in batches:
             head = batch.select([*keys, CELL])
-            for i, (start, p) in enumerate(
-                zip(batch.column("_start").to_pylist(), batch.column(price).to_pylist())
+            columns = ["_start", price, "_least", "_most"]
+            for i, (start, p, least, most) in enumerate(
+                zip(*[batch.column(c).to_pylist() for c in columns])
             ):
                 if start:
                     if trace is not None:
                         yield emit(key, trace)
-                    key, trace = head.slice(i, 1), _CellTrace(threshold)
+                    key, trace = head.slice(i, 1), _CellTrace(threshold, least, most)
                 if p is not None:
                     trace.add(p)
         if trace is not None:
@@ -173,18 +227,21 @@ def _enter(keys: Sequence[str], threshold: float):
         ref, cell, leave = None, None, None
         for batch in batches:
             rows, entries = [], []
-            for i, (start, at, p, end) in enumerate(zip(
-                batch.column("_start").to_pylist(), batch.column(CELL).to_pylist(),
-                batch.column("_price").to_pylist(), batch.column("_exit").to_pylist(),
-            )):
+            columns = ["_start", CELL, "_low", "_high", "_exit"]
+            for i, (start, at, low, high, end) in enumerate(
+                zip(*[batch.column(c).to_pylist() for c in columns])
+            ):
                 if start or at != cell:
                     ref = None if start else (ref if leave is None else leave)
                     cell, leave = at, None
                     rows.append(i)
                     entries.append(ref)
                     if ref is None:
+                        # The first price of the key is its first reference.
                         leave = end
-                if leave is None and _moved(ref, p, threshold):
+                if leave is None and (
+                    _moved(ref, low, threshold) or _moved(ref, high, threshold)
+                ):
                     leave = end
             picked = batch.select([*keys, CELL]).take(pa.array(rows, pa.int64()))
             yield picked.append_column("_entry", pa.array(entries, pa.float64()))
@@ -222,12 +279,14 @@ def _entry_prices(prices: DataFrame, cells: Cells, price: str, threshold: float)
     """The reference price each cell of a hot key is entered with."""
     keys = cells.keys
     hot = cells.hot(prices.select(*keys, cells.order, F.col(price).cast("double").alias(price)))
+    before = Window.partitionBy(*keys).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = hot.groupBy(*cells.by).agg(F.min(price).alias("_lo"), F.max(price).alias("_hi"))
+    ranges = ranges.select(
+        *cells.by, F.min("_lo").over(before).alias("_least"), F.max("_hi").over(before).alias("_most")
+    )
+    hot = join_small(hot, ranges, cells.by, "left")
     fields = [hot.schema[c] for c in cells.by]
-    traced = T.StructType(fields + [
-        T.StructField("_at", T.LongType()),
-        T.StructField("_price", T.DoubleType()),
-        T.StructField("_exit", T.DoubleType()),
-    ])
+    traced = T.StructType(fields + _TRACE.fields)
     traces = _in_order(hot, cells.by, [cells.order]).mapInArrow(
         _trace(keys, price, threshold), traced
     )

@@ -21,6 +21,10 @@ from tideline.functions.numeric import int_mean
 from tideline.functions.windows import tumbling, window_bounds
 
 
+# Groups a task of window_reduce holds before it hands them on.
+MAX_HELD_GROUPS = 20_000
+
+
 def window_agg(
     df: DataFrame, window: Column | str, keys: Sequence[str], *aggs: Column
 ) -> DataFrame:
@@ -177,8 +181,8 @@ def window_reduce(
     """Hook for a user-written associative aggregate per (window, keys).
 
     ``partial`` turns some rows of a group into one row of ``schema``, ``merge``
-    turns several such rows into one. Rows are reduced inside each Arrow batch
-    before any shuffle; a group is then merged in ``branches`` parts and once
+    turns several such rows into one. Rows are reduced inside each task before any
+    shuffle; a group is then merged in ``branches`` parts and once
     more, so no task sees a whole group.
     """
     w = tumbling(window) if isinstance(window, str) else window
@@ -200,9 +204,16 @@ def window_reduce(
         return run
 
     def map_side(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        combine = reduce_groups(partial)
+        first, again = reduce_groups(partial), reduce_groups(merge)
+        held = None
         for pdf in batches:
-            yield combine(pdf)
+            part = first(pdf)
+            held = part if held is None else again(pd.concat([held, part]))
+            if len(held) > MAX_HELD_GROUPS:
+                yield held
+                held = None
+        if held is not None:
+            yield held
 
     combined = flat.mapInPandas(map_side, full)
     branch = F.pmod(F.spark_partition_id(), F.lit(branches)).alias("_branch")
