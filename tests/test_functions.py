@@ -1,9 +1,11 @@
+import cmath
 import math
 from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
 
+from tideline.functions import complex as cx
 from tideline.functions import numeric as num
 from tideline.functions import text as txt
 from tideline.functions import windows as win
@@ -47,7 +49,7 @@ def test_padding_round_trip(spark):
 ])
 def test_complex_text(spark, re, im, text):
     df = spark.createDataFrame([(re, im)], "re double, im double")
-    assert df.select(txt.complex_text("re", "im")).first()[0] == text
+    assert df.select(cx.complex_text("re", "im")).first()[0] == text
 
 
 @pytest.mark.parametrize("old, new, changed", [
@@ -110,3 +112,17 @@ def test_window_columns(spark):
     w = df.select(win.tumbling("10 seconds").alias("window"))
     assert str(w.select(win.window_max_ts()).first()[0]) == "2024-01-01 00:00:09.999000"
     assert df.select(win.sliding("10 seconds", "5 seconds")).count() == 2
+
+
+def test_complex_arithmetic(spark):
+    a, b = complex(1.5, -2), complex(0.25, 3)
+    df = spark.range(1).select(
+        cx.complex_of(F.lit(a.real), F.lit(a.imag)).alias("a"),
+        cx.complex_of(F.lit(b.real), F.lit(b.imag)).alias("b"),
+    )
+    row = df.select(
+        cx.plus("a", "b"), cx.minus("a", "b"), cx.times("a", "b"), cx.scaled("a", 3.0),
+        cx.divided("a", 4.0), cx.exponential("a"),
+    ).first()
+    want = [a + b, a - b, a * b, a * 3, a / 4, cmath.exp(a)]
+    assert [complex(*z) for z in row] == pytest.approx(want)

@@ -48,19 +48,3 @@ def without_padding(text: str | Column, size: int) -> Column:
     """Inverse of :func:`padded`: drop the last ``size + 1`` characters."""
     text = _col(text)
     return F.substring(text, F.lit(1), F.length(text) - (size + 1))
-
-
-def complex_text(re: str | Column, im: str | Column) -> Column:
-    """Complex number as text with three decimals.
-
-    A pure imaginary number is written without its sign.
-    """
-    re, im = _col(re), _col(im)
-    a = F.format_string("%1.3f", re)
-    b = F.format_string("%1.3f", F.abs(im))
-    return (
-        F.when(b == "0.000", a)
-        .when(a == "0.000", F.concat(b, F.lit("i")))
-        .when(im > 0, F.concat(a, F.lit(" + "), b, F.lit("i")))
-        .otherwise(F.concat(a, F.lit(" - "), b, F.lit("i")))
-    )

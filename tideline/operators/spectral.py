@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tideline.functions import complex as cx
 from tideline.functions.numeric import next_power_of_two
 from tideline.operators.ordered import CELL, MAX_ROWS, with_index
 
@@ -88,15 +89,9 @@ def dft(
     )
     first = _pieces(long, [*groups, "_n1", "_n2", "_r"], "_q", "_n1", inverse)
     angle = F.lit(-2.0 if inverse else 2.0) * F.pi() * F.col("_r") * F.col("_bin") / F.col("_n")
-    turned = (
-        first.withColumn("_cos", F.cos(angle))
-        .withColumn("_sin", F.sin(angle))
-        .select(
-            *groups, "_n1", "_n2", "_r", F.col("_bin").alias("_k1"),
-            (F.col("re") * F.col("_cos") - F.col("im") * F.col("_sin")).alias("re"),
-            (F.col("re") * F.col("_sin") + F.col("im") * F.col("_cos")).alias("im"),
-        )
-    )
+    turned = first.withColumn(
+        "_z", cx.times(cx.complex_of("re", "im"), cx.complex_of(F.cos(angle), F.sin(angle)))
+    ).select(*groups, "_n1", "_n2", "_r", F.col("_bin").alias("_k1"), "_z.re", "_z.im")
     second = _pieces(turned, [*groups, "_n1", "_n2", "_k1"], "_r", "_n2", inverse)
     merged = second.select(
         *keys, (F.col("_k1") + F.col("_n1") * F.col("_bin")).alias("bin"), "re", "im"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.functions import numeric as num
+from tideline.functions import complex as cx
 from tideline.functions import text as txt
 from tideline.functions.windows import epoch_ms
 from tideline.operators import (
@@ -19,7 +19,7 @@ from tideline.operators import (
     spectral,
     windowed,
 )
-from tideline.plans import stocks, tolls
+from tideline.plans import stocks, texts, tolls
 from tideline.sources import lines, tables
 from tideline.streaming import native, panes, replay
 
@@ -331,7 +331,48 @@ def inverse_dft(spark, d):
 def complex_numbers_as_text(spark, d):
     im = F.col("value") - F.floor(F.col("value")) - F.lit(0.5)
     re = F.when(F.col("event_id") % 3 == 0, F.lit(0.0)).otherwise(F.col("value"))
-    return tables.table(spark, d, "events").select("event_id", txt.complex_text(re, im).alias("c"))
+    return tables.table(spark, d, "events").select("event_id", cx.complex_text(re, im).alias("c"))
+
+
+@_query
+def complex_arithmetic(spark, d):
+    a = cx.complex_of("value", F.col("user_id") / 8)
+    b = cx.complex_of(F.col("user_id") / 4)
+    out = tables.table(spark, d, "events").select(
+        "event_id",
+        cx.plus(a, b).alias("p"), cx.minus(a, b).alias("m"), cx.times(a, a).alias("t"),
+        cx.scaled(a, 0.5).alias("s"), cx.divided(a, 4.0).alias("q"),
+        cx.exponential(cx.scaled(a, 0.001)).alias("e"),
+    )
+    parts = [
+        _r6(F.col(c).getField(part)).alias(f"{c}_{part}") for c in "pmtsqe" for part in ("re", "im")
+    ]
+    return out.select("event_id", *parts)
+
+
+def _records(spark, d):
+    return tables.table(spark, d, "events").select(
+        F.concat_ws(" ", "event_type", F.col("user_id") % 10, "event_type").alias("text"),
+        F.col("value").cast("int").alias("value"),
+        F.col("ts").alias("event_time"),
+        F.col("event_id").alias("arrival"),
+    )
+
+
+@_query
+def mean_by_value(spark, d):
+    return texts.windowed_function(_records(spark, d), PRICE_WINDOW, 0)
+
+
+@_query
+def bigrams_by_window(spark, d):
+    return texts.windowed_function(_records(spark, d), PRICE_WINDOW, 1)
+
+
+@_query
+def spectrum_by_value(spark, d):
+    out = texts.windowed_function(_records(spark, d), PRICE_WINDOW, 2)
+    return out.withColumns({c: _r6(F.col(c) + F.lit(1e-9)) for c in ("re", "im")})
 
 
 # -- late data -----------------------------------------------------------------

@@ -157,6 +157,42 @@ FROM (SELECT event_id, (epoch_us(ts) // 1000) AS ts_ms,
       FROM events)"""
 
 
+RECORDS = f"""records AS (
+  SELECT concat_ws(' ', event_type, user_id % 10, event_type) AS text,
+         CAST(trunc(value) AS INTEGER) AS key, event_id AS arrival, {_win(DAY, 'ts')}
+  FROM events)"""
+
+SPECTRUM = f"""WITH {RECORDS}, x AS (
+  SELECT *, row_number() OVER (PARTITION BY window_start, key ORDER BY arrival) - 1 AS j,
+         count(*) OVER (PARTITION BY window_start, key) AS m,
+         last_value(text) OVER (PARTITION BY window_start, key ORDER BY arrival
+           ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS label
+  FROM records),
+padded AS (SELECT *, CAST(pow(2, ceil(log2(m))) AS BIGINT) AS n FROM x),
+bins AS (SELECT *, unnest(range(n)) AS bin FROM padded),
+spectrum AS (
+  SELECT window_start, window_end, key, bin, label AS text,
+         sum(key * cos(2 * pi() * ((j * bin) % n) / n)) AS re,
+         sum(key * sin(2 * pi() * ((j * bin) % n) / n)) AS im
+  FROM bins GROUP BY ALL)
+SELECT window_start, window_end, key, bin, text, round(re + 1e-9, 6) + 0.0 AS re,
+       round(im + 1e-9, 6) + 0.0 AS im, CAST(trunc(round(re, 6)) AS INTEGER) AS re_int
+FROM spectrum"""
+
+
+def _complex() -> str:
+    # a = v + iw, b = u
+    exprs = {
+        "p_re": "v + u", "p_im": "w", "m_re": "v - u", "m_im": "w",
+        "t_re": "v * v - w * w", "t_im": "v * w + w * v", "s_re": "v * 0.5", "s_im": "w * 0.5",
+        "q_re": "v / 4", "q_im": "w / 4", "e_re": "exp(v * 0.001) * cos(w * 0.001)",
+        "e_im": "exp(v * 0.001) * sin(w * 0.001)",
+    }
+    columns = ", ".join(f"round({e}, 6) + 0.0 AS {c}" for c, e in exprs.items())
+    return f"""SELECT event_id, {columns} FROM (
+      SELECT event_id, value AS v, user_id / 8 AS w, user_id / 4 AS u FROM events)"""
+
+
 def _stopped(which: str) -> str:
     return f"""WITH {VEHICLES}, {STOPPED}
 SELECT window_start, window_end, car_id, abs_seg, lane, pos, {which}_speed AS speed, dir, n
@@ -297,6 +333,16 @@ def all_sql() -> dict[str, str]:
             d AS (SELECT *, printf('%.3f', abs(im)) AS b FROM c)
             SELECT event_id, CASE WHEN b = '0.000' THEN a WHEN a = '0.000' THEN b || 'i'
               WHEN im > 0 THEN a || ' + ' || b || 'i' ELSE a || ' - ' || b || 'i' END AS c FROM d""",
+        "complex_arithmetic": _complex(),
+        "mean_by_value": f"""WITH {RECORDS} SELECT window_start, window_end, key,
+            arg_min(text, arrival) AS text, count(*) AS n,
+            CAST(sum(key) // count(*) AS BIGINT) AS mean_value FROM records GROUP BY ALL""",
+        "bigrams_by_window": f"""WITH {RECORDS}, w AS (
+              SELECT window_start, window_end, string_split(text, ' ') AS w FROM records)
+            SELECT window_start, window_end, ngram, count(*) AS n FROM (
+              SELECT window_start, window_end, unnest([w[1] || w[2], w[2] || w[3]]) AS ngram FROM w)
+            GROUP BY ALL""",
+        "spectrum_by_value": SPECTRUM,
         "late_classification": f"""WITH {LATE} SELECT lateness, start_ms AS window_start_ms,
             count(*) AS n FROM late GROUP BY ALL""",
         "pane_counts": f"""WITH {LATE}

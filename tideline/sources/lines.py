@@ -104,6 +104,11 @@ def texts(lines: DataFrame, padding: int = 0) -> DataFrame:
     )
 
 
+def with_arrival_time(feed: DataFrame) -> DataFrame:
+    """Stamp rows with the time they are processed, for processing-time windows."""
+    return feed.withColumn("arrival_time", F.current_timestamp())
+
+
 def with_segment(reports: DataFrame, max_segment: int = SEGMENTS_PER_XWAY) -> DataFrame:
     """Add the segment number counted over all expressways."""
     return reports.withColumn("abs_seg", F.col("xway") * max_segment + F.col("seg"))

@@ -12,6 +12,11 @@ def bounded_run(writer: DataStreamWriter) -> StreamingQuery:
     return writer.trigger(availableNow=True).start()
 
 
+def periodic_run(writer: DataStreamWriter, interval: str) -> StreamingQuery:
+    """Run on, one trigger (and one step of the watermark) per interval."""
+    return writer.trigger(processingTime=interval).start()
+
+
 def console(df: DataFrame, mode: str = "append") -> DataStreamWriter:
     return df.writeStream.format("console").outputMode(mode)
 

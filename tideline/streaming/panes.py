@@ -94,6 +94,12 @@ class _Panes(StatefulProcessor):
         values = [*key, pane, n, total]
         return pd.DataFrame({c: [v] for c, v in zip([*self.names, "pane", "n", "total"], values)})
 
+    def set_timers(self, start: int, ended: bool) -> None:
+        """Timers of a window that has just got its first row."""
+        if not ended:
+            self.handle.registerTimer(self.clock.end_timer(start))
+        self.handle.registerTimer(self.clock.purge_timer(start))
+
     def close(self) -> None:
         pass
 
@@ -108,7 +114,8 @@ class _TwoPanes(_Panes):
         more_n, more = _summed(rows)
         if self.clock.too_late(start, now):
             return
-        n, total, fired = self.cell.get() if self.cell.exists() else (0, 0.0, False)
+        old = self.cell.get()
+        n, total, fired = old or (0, 0.0, False)
         if self.clock.ended(start, now) and not fired:
             # The end was passed by an earlier batch: these rows are late, so
             # the on-time pane is what was there before them.
@@ -116,15 +123,15 @@ class _TwoPanes(_Panes):
             if n:
                 yield self.row(key, "on_time", n, total)
         self.cell.update((n + more_n, total + more, fired))
-        if not fired:
-            self.handle.registerTimer(self.clock.end_timer(start))
-        self.handle.registerTimer(self.clock.purge_timer(start))
+        if old is None:
+            self.set_timers(start, fired)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.cell.exists():
+        old = self.cell.get()
+        if old is None:
             return
         at, start = expiredTimerInfo.getExpiryTimeInMs(), key[-1]
-        n, total, fired = self.cell.get()
+        n, total, fired = old
         if at < self.clock.purge_timer(start):
             if not fired:
                 self.cell.update((n, total, True))
@@ -159,8 +166,8 @@ class _EarlyLatePanes(_Panes):
         more_n, more = _summed(rows)
         if self.clock.too_late(start, now):
             return
-        old = self.cell.get() if self.cell.exists() else (0, 0.0, 0, False, -1)
-        n, total, fresh, ended, due = old
+        old = self.cell.get()
+        n, total, fresh, ended, due = old or (0, 0.0, 0, False, -1)
         if self.clock.ended(start, now) and not ended:
             pane, (n, total) = self._end(key, n, total, now)
             yield from pane
@@ -174,15 +181,15 @@ class _EarlyLatePanes(_Panes):
                 yield self.row(key, "late" if ended else "early", n, total)
                 fresh, due = 0, clock_ms + period
         self.cell.update((n, total, fresh, ended, due))
-        if not ended:
-            self.handle.registerTimer(self.clock.end_timer(start))
-        self.handle.registerTimer(self.clock.purge_timer(start))
+        if old is None:
+            self.set_timers(start, ended)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.cell.exists():
+        old = self.cell.get()
+        if old is None:
             return
         at, start = expiredTimerInfo.getExpiryTimeInMs(), key[-1]
-        n, total, fresh, ended, due = self.cell.get()
+        n, total, fresh, ended, due = old
         if not ended:
             pane, (n, total) = self._end(key, n, total, self.clock.now(timerValues))
             yield from pane
@@ -254,12 +261,14 @@ class _Scan(StatefulProcessor):
             start = key[-1]
             if self.clock.too_late(start, self.clock.now(timerValues)):
                 return
+        old = self.cell.get()
+        if old is None and self.clock is not None:
             self.handle.registerTimer(self.clock.purge_timer(start))
         pdf = pd.concat(list(rows))
         # Computed columns may come in under a made-up name, but in order.
         pdf.columns = self.inputs
         pdf = pdf.sort_values(self.arrival)
-        hits = self.visit(pdf)
+        hits = self.visit(pdf, old)
         if len(hits):
             yield hits[self.columns]
 
@@ -276,8 +285,8 @@ class _DeltaScan(_Scan):
         self.handle = handle
         self.cell = handle.getValueState("reference", "price double")
 
-    def visit(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        ref = self.cell.get()[0] if self.cell.exists() else None
+    def visit(self, pdf: pd.DataFrame, old: tuple | None) -> pd.DataFrame:
+        ref = old[0] if old else None
         fired = []
         for p in pdf[self.price].tolist():
             hit = ref is not None and _moved(ref, p, self.threshold)
@@ -293,8 +302,7 @@ class _WarningScan(_Scan):
         self.handle = handle
         self.cell = handle.getValueState("older", "price double, us bigint, arrival bigint")
 
-    def visit(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        older = self.cell.get() if self.cell.exists() else None
+    def visit(self, pdf: pd.DataFrame, older: tuple | None) -> pd.DataFrame:
         hits = []
         us = pdf["_us"].tolist()
         for p, t, a in zip(pdf[self.price].tolist(), us, pdf[self.arrival].tolist()):
@@ -365,9 +373,8 @@ class _Running(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         n, total = _summed(rows)
-        if self.cell.exists():
-            old_n, old = self.cell.get()
-            n, total = n + old_n, total + old
+        old_n, old = self.cell.get() or (0, 0.0)
+        n, total = n + old_n, total + old
         self.cell.update((n, total))
         yield pd.DataFrame({c: [v] for c, v in zip([*self.names, "n", "total"], [*key, n, total])})
 
