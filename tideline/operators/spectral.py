@@ -24,20 +24,20 @@ from tideline.functions.numeric import next_power_of_two
 from tideline.operators.ordered import CELL, MAX_ROWS, with_index
 
 MAX_POINTS = 1 << 16
-_PIECE = "array<struct<re:double,im:double>>"
+_PIECE = "re array<double>, im array<double>"
 
 
 def _transform(inverse: bool):
-    def one(at: np.ndarray, re: np.ndarray, im: np.ndarray, points: int) -> list:
+    def one(at: np.ndarray, re: np.ndarray, im: np.ndarray, points: int) -> np.ndarray:
         signal = np.zeros(points, dtype=complex)
-        signal[at] = np.asarray(re) + 1j * np.asarray(im)
+        signal[at] = re + 1j * np.asarray(im)
         # numpy's ifft has the plus sign; scaling is undone for the forward form.
-        out = np.fft.fft(signal) / points if inverse else np.fft.ifft(signal) * points
-        return [{"re": r, "im": i} for r, i in zip(out.real.tolist(), out.imag.tolist())]
+        return np.fft.fft(signal) / points if inverse else np.fft.ifft(signal) * points
 
     @F.pandas_udf(_PIECE)
-    def piece(at: pd.Series, re: pd.Series, im: pd.Series, points: pd.Series) -> pd.Series:
-        return pd.Series([one(*row) for row in zip(at, re, im, points)], dtype=object)
+    def piece(at: pd.Series, re: pd.Series, im: pd.Series, points: pd.Series) -> pd.DataFrame:
+        out = [one(*row) for row in zip(at, re, im, points)]
+        return pd.DataFrame({"re": [z.real for z in out], "im": [z.imag for z in out]})
 
     return piece
 
@@ -45,10 +45,11 @@ def _transform(inverse: bool):
 def _pieces(rows: DataFrame, by: Sequence[str], at: str, points: str, inverse: bool) -> DataFrame:
     """Transform the rows of each group; gives ``_bin``, ``re``, ``im``."""
     lists = rows.groupBy(*by).agg(F.collect_list(F.struct(at, "re", "im")).alias("_s"))
-    bins = _transform(inverse)(
+    bins = lists.select(*by, _transform(inverse)(
         F.col(f"_s.{at}"), F.col("_s.re"), F.col("_s.im"), F.col(points)
-    )
-    return lists.select(*by, F.posexplode(bins).alias("_bin", "_c")).select(
+    ).alias("_z"))
+    zipped = F.arrays_zip(F.col("_z.re").alias("re"), F.col("_z.im").alias("im"))
+    return bins.select(*by, F.posexplode(zipped).alias("_bin", "_c")).select(
         *by, F.col("_bin").cast("bigint").alias("_bin"), "_c.re", "_c.im"
     )
 
