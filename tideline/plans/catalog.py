@@ -351,7 +351,11 @@ def complex_arithmetic(spark, d):
 
 
 def _records(spark, d):
-    return tables.table(spark, d, "events").select(
+    return _records_of(tables.table(spark, d, "events"))
+
+
+def _records_of(events):
+    return events.select(
         F.concat_ws(" ", "event_type", F.col("user_id") % 10, "event_type").alias("text"),
         F.col("value").cast("int").alias("value"),
         F.col("ts").alias("event_time"),
@@ -519,3 +523,31 @@ def stream_delta_trigger(spark, d):
         tables.stream_table(spark, d, "events"),
         lambda events: panes.delta_stream(tables.prices_of(events), ["symbol"]),
     )
+
+
+@_query
+def stream_price_warnings(spark, d):
+    def job(events):
+        feed = tables.zoned(tables.prices_of(events))
+        return panes.warning_stream(feed, DAY_MS, DAY_MS - 1)
+
+    native.use_rocksdb(spark)
+    return _zoneless(replay.once(tables.stream_table(spark, d, "events"), job))
+
+
+def _stream_function(spark, d, complexity):
+    def job(events):
+        feed = native.allow_late(tables.zoned(_records_of(events)), DAY_MS, 1)
+        return texts.windowed_function(feed, PRICE_WINDOW, complexity)
+
+    return _zoneless(replay.once(tables.stream_table(spark, d, "events"), job))
+
+
+@_query
+def stream_mean_by_value(spark, d):
+    return _stream_function(spark, d, 0)
+
+
+@_query
+def stream_bigrams(spark, d):
+    return _stream_function(spark, d, 1)

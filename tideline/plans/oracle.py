@@ -162,6 +162,16 @@ RECORDS = f"""records AS (
          CAST(trunc(value) AS INTEGER) AS key, event_id AS arrival, {_win(DAY, 'ts')}
   FROM events)"""
 
+MEAN_BY_VALUE = f"""WITH {RECORDS}
+SELECT window_start, window_end, key, arg_min(text, arrival) AS text, count(*) AS n,
+       CAST(sum(key) // count(*) AS BIGINT) AS mean_value FROM records GROUP BY ALL"""
+
+WINDOW_BIGRAMS = f"""WITH {RECORDS},
+w AS (SELECT window_start, window_end, string_split(text, ' ') AS w FROM records)
+SELECT window_start, window_end, ngram, count(*) AS n
+FROM (SELECT window_start, window_end, unnest([w[1] || w[2], w[2] || w[3]]) AS ngram FROM w)
+GROUP BY ALL"""
+
 SPECTRUM = f"""WITH {RECORDS}, x AS (
   SELECT *, row_number() OVER (PARTITION BY window_start, key ORDER BY arrival) - 1 AS j,
          count(*) OVER (PARTITION BY window_start, key) AS m,
@@ -334,14 +344,8 @@ def all_sql() -> dict[str, str]:
             SELECT event_id, CASE WHEN b = '0.000' THEN a WHEN a = '0.000' THEN b || 'i'
               WHEN im > 0 THEN a || ' + ' || b || 'i' ELSE a || ' - ' || b || 'i' END AS c FROM d""",
         "complex_arithmetic": _complex(),
-        "mean_by_value": f"""WITH {RECORDS} SELECT window_start, window_end, key,
-            arg_min(text, arrival) AS text, count(*) AS n,
-            CAST(sum(key) // count(*) AS BIGINT) AS mean_value FROM records GROUP BY ALL""",
-        "bigrams_by_window": f"""WITH {RECORDS}, w AS (
-              SELECT window_start, window_end, string_split(text, ' ') AS w FROM records)
-            SELECT window_start, window_end, ngram, count(*) AS n FROM (
-              SELECT window_start, window_end, unnest([w[1] || w[2], w[2] || w[3]]) AS ngram FROM w)
-            GROUP BY ALL""",
+        "mean_by_value": MEAN_BY_VALUE,
+        "bigrams_by_window": WINDOW_BIGRAMS,
         "spectrum_by_value": SPECTRUM,
         "late_classification": f"""WITH {LATE} SELECT lateness, start_ms AS window_start_ms,
             count(*) AS n FROM late GROUP BY ALL""",
@@ -377,6 +381,13 @@ def all_sql() -> dict[str, str]:
             round(covar_pop(warnings, tweets) / (stddev_pop(warnings) * stddev_pop(tweets)), 6)
               + 0.0 AS correlation
             FROM ({MIRROR}) s WHERE {_closed(2 * DAY_MS - 1, 'events', 'ts')} GROUP BY ALL""",
+        "stream_price_warnings": f"""{prices_with}
+            SELECT symbol, price, make_timestamp(epoch_us(event_time)) AS event_time, arrival,
+                   epoch_us(window_start) // 1000 AS window_start_ms FROM warnings""",
+        "stream_mean_by_value": f"""SELECT * FROM ({MEAN_BY_VALUE}) s
+            WHERE {_closed(DAY_MS - 1, 'events', 'ts')}""",
+        "stream_bigrams": f"""SELECT * FROM ({WINDOW_BIGRAMS}) s
+            WHERE {_closed(DAY_MS - 1, 'events', 'ts')}""",
         "stream_delta_trigger": f"""WITH RECURSIVE {_recursive_delta('symbol')}
             SELECT symbol, price, event_time, arrival FROM s WHERE fired""",
         "text_lines": """SELECT conv_id, turn, CAST(length(text) + 3501 AS INTEGER) AS width, text,
