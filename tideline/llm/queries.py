@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tideline.llm import compression
-from tideline.llm.common import read
+from tideline.llm import attention, compression, toxicity
+from tideline.llm.common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,8 +17,29 @@ def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.compression_rules(read(spark, sf_dir, "documents"))
 
 
+def _scored(module, spark: SparkSession, sf_dir: str, folds: int, fold: int) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = module.trained(docs, labels.where(~held_out("doc_id", folds, fold)))
+    return (
+        module.score(docs, model)
+        .withColumn("held_out", held_out("doc_id", folds, fold))
+        .withColumn("predicted", (F.col("score") >= module.THRESHOLD).cast("int"))
+    )
+
+
+def op3_noisy_or_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids whose crc32 leaves 0 by 5 are held out."""
+    return _scored(toxicity, spark, sf_dir, 5, 0)
+
+
+def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of ids whose crc32 leaves 2 by 4 are held out."""
+    return _scored(attention, spark, sf_dir, 4, 2)
+
+
 def all_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_compression_bands,)}
+    found = (op2_compression_bands, op3_noisy_or_toxicity, op4_attention_quality)
+    return {f.__name__: f for f in found}
 
 
 def all_sql() -> dict[str, str]:
