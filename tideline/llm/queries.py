@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import attention, compression, toxicity
+from tideline.llm import attention, compression, superminhash, toxicity
 from tideline.llm.common import held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,8 +37,14 @@ def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(attention, spark, sf_dir, 4, 2)
 
 
+def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Query]:
-    found = (op2_compression_bands, op3_noisy_or_toxicity, op4_attention_quality)
+    found = (
+        op2_compression_bands, op3_noisy_or_toxicity, op4_attention_quality, op10_superminhash,
+    )
     return {f.__name__: f for f in found}
 
 
