@@ -28,6 +28,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the public vocabulary files lie; every machine of the cluster has them."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object] | None], schema: str
 ) -> DataFrame:
@@ -42,6 +49,22 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def filter_batches(df: DataFrame, text: str, keep: Callable[[list], list[bool]], raw: bool) -> DataFrame:
+    """The rows of ``df`` whose text ``keep`` says True of, with all their columns.
+
+    ``keep`` gets the texts of a batch, as bytes if ``raw``.
+    """
+    at = df.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at)
+            good = keep(utf8(column) if raw else column.to_pylist())
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """Texts as bytes, without decoding them."""
     return column.cast(pa.binary()).to_pylist()

@@ -13,7 +13,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from tideline.llm.common import BLANKS, map_batches, utf8
+from tideline.llm.common import BLANKS, filter_batches, map_batches, utf8
 
 LEVEL = 3
 CHUNK_BYTES = 2048
@@ -124,3 +124,13 @@ def compression_rules(
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), SCHEMA])
     return map_batches(df.select(*keys, text), judge, schema)
+
+
+def keep_fitting(df: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``df`` that are kept, with all their columns."""
+
+    def fitting(texts: list[bytes | None]) -> list[bool]:
+        packer = zstandard.ZstdCompressor(level=LEVEL)
+        return [judged(t, packer)[-1] for t in texts]
+
+    return filter_batches(df, text, fitting, raw=True)

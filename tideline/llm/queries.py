@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import attention, compression, superminhash, toxicity
-from tideline.llm.common import held_out, read
+from tideline.llm import attention, compression, packing, spans, superminhash, toxicity
+from tideline.llm.common import held_out, read, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,13 +37,22 @@ def op4_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(attention, spark, sf_dir, 4, 2)
 
 
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.drop_repeated_spans(read(spark, sf_dir, "documents"))
+
+
+def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def all_queries() -> dict[str, Query]:
     found = (
-        op2_compression_bands, op3_noisy_or_toxicity, op4_attention_quality, op10_superminhash,
+        op2_compression_bands, op3_noisy_or_toxicity, op4_attention_quality,
+        op5_sentence_spans, op9_vector_packing, op10_superminhash,
     )
     return {f.__name__: f for f in found}
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tideline.llm.common import Cache, map_batches
+from tideline.llm.common import Cache, filter_batches, map_batches
 from tideline.llm.training import Adam, labelled_sample, sigmoid
 
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -120,6 +120,16 @@ def _softplus(z: float) -> float:
     return z if z > 30 else math.log1p(math.exp(z))
 
 
+def text_score(text: str | None, model: NoisyOr, weight: Cache) -> tuple[float, int]:
+    """Noisy-or of the sentences, and how many of them are toxic by themselves."""
+    total, n = 0.0, 0
+    for _, _, words in sentences(text or ""):
+        z = model.bias + sum(map(weight.__getitem__, words))
+        total += _softplus(z)
+        n += z >= 0
+    return -math.expm1(-total), n
+
+
 def score(df: DataFrame, model: NoisyOr, text: str = "text", keys=("doc_id",)) -> DataFrame:
     """``keys`` of every row with ``score`` and how many sentences are to blame.
 
@@ -130,22 +140,27 @@ def score(df: DataFrame, model: NoisyOr, text: str = "text", keys=("doc_id",)) -
 
     def run(batch: pa.RecordBatch) -> dict:
         weight = Cache(model.word_weight)
-        scores, blamed = [], []
-        for t in batch.column(len(keys)).to_pylist():
-            total, n = 0.0, 0
-            for _, _, words in sentences(t or ""):
-                z = model.bias + sum(map(weight.__getitem__, words))
-                total += _softplus(z)
-                n += z >= 0
-            scores.append(-math.expm1(-total))
-            blamed.append(n)
+        rows = [text_score(t, model, weight) for t in batch.column(len(keys)).to_pylist()]
         out = {k: batch.column(i) for i, k in enumerate(keys)}
-        return out | {"score": pa.array(scores, pa.float64()), "n_toxic_sentences": pa.array(blamed, pa.int64())}
+        return out | {
+            "score": pa.array([r[0] for r in rows], pa.float64()),
+            "n_toxic_sentences": pa.array([r[1] for r in rows], pa.int64()),
+        }
 
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "score double, n_toxic_sentences bigint"])
     return map_batches(df.select(*keys, text), run, schema)
 
 
+def keep_clean(df: DataFrame, model: NoisyOr, text: str = "text") -> DataFrame:
+    """The rows of ``df`` that score below the threshold, with all their columns."""
+
+    def clean(texts: list[str | None]) -> list[bool]:
+        weight = Cache(model.word_weight)
+        return [text_score(t, model, weight)[0] < THRESHOLD for t in texts]
+
+    return filter_batches(df, text, clean, raw=False)
+
+
 def locate(df: DataFrame, model: NoisyOr, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per offending sentence: key, character span, probability and the sentence."""
 
