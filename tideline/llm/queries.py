@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import attention, chat, compression, licenses, packing, spans, superminhash, toxicity
+from tideline.llm import attention, chat, compression, licenses, packing, spans, superminhash, toxicity, transducer
 from tideline.llm.common import held_out, read, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,10 @@ def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.drop_repeated_spans(read(spark, sf_dir, "documents"))
 
 
+def op6_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.round_trip(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op8_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents")).drop("spans")
 
@@ -107,7 +111,7 @@ def all_queries() -> dict[str, Query]:
     found = (
         op1_chat_paths,
         op2_compression_bands, op3_noisy_or_toxicity, op4_attention_quality,
-        op5_sentence_spans, op8_diagonal_voting, op9_vector_packing, op10_superminhash,
+        op5_sentence_spans, op6_streaming_bpe, op8_diagonal_voting, op9_vector_packing, op10_superminhash,
     )
     return {f.__name__: f for f in found}
 
