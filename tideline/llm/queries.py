@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import attention, chat, compression, licenses, packing, spans, superminhash, toxicity, transducer
+from tideline.llm import attention, caps, chat, compression, licenses, packing, spans, superminhash, toxicity, transducer
 from tideline.llm.common import held_out, read, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,30 @@ def op6_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.round_trip(read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op7_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+CAP_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+), u AS (
+  SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS len FROM v
+  WHERE len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.len > 0 AND b.len > 0 AND len(a.e) = len(b.e)
+    AND list_inner_product(a.e, b.e) / (a.len * b.len) >= 0.93
+), reach AS (
+  SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+), least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN least ON least.x = e.vec_id LEFT JOIN counts ON counts.x = e.vec_id
+"""
+
+
 def op8_diagonal_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents")).drop("spans")
 
@@ -111,10 +135,11 @@ def all_queries() -> dict[str, Query]:
     found = (
         op1_chat_paths,
         op2_compression_bands, op3_noisy_or_toxicity, op4_attention_quality,
-        op5_sentence_spans, op6_streaming_bpe, op8_diagonal_voting, op9_vector_packing, op10_superminhash,
+        op5_sentence_spans, op6_streaming_bpe,
+        op7_cap_filters, op8_diagonal_voting, op9_vector_packing, op10_superminhash,
     )
     return {f.__name__: f for f in found}
 
 
 def all_sql() -> dict[str, str]:
-    return {"op1_chat_paths": CHAT_SQL}
+    return {"op1_chat_paths": CHAT_SQL, "op7_cap_filters": CAP_SQL}
