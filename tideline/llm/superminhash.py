@@ -14,7 +14,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import LOWER, map_batches, mixed, utf8, window_hashes, word_hashes, written
@@ -26,10 +26,14 @@ POSITIONS = 128
 #: Four rows a band: a pair of similarity 0.75 shares none of the 32 in 5 of a million cases.
 ROWS = 4
 BANDS = POSITIONS // ROWS
-#: Least equal positions of 128 to check a pair on its full sets; a pair of similarity
-#: 0.75 has 96 on average and a deviation under 4.9.
-LEAST_EQUAL = 74
-LANES = POSITIONS // 8
+#: Least equal positions of 128, compared by four bits, to check a pair on its full sets;
+#: a pair of similarity 0.75 has 98 on average and a deviation under 4.8.
+LEAST_EQUAL = 78
+#: Pairs that agree so much are looked at before the others.
+LIKELY_EQUAL = 98
+LANES = [f"lane{i}" for i in range(POSITIONS // 16)]
+#: Partners of a class that are checked first, the most promising ones.
+FIRST_CHECKS = 4
 #: Elements worked on together; bounds a task's memory.
 BLOCK = 100_000
 
@@ -96,9 +100,9 @@ def set_class(elements: np.ndarray) -> int:
 
 
 def signed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(id, n_shingles, cls, bands, lanes): the last three are null for empty sets.
+    """(id, n_shingles, cls, bands, lane0, ...): null from cls on for empty sets.
 
-    ``lanes`` holds a byte of each position, eight to a long.
+    The lanes hold four bits of each position, sixteen to a long.
     """
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -108,7 +112,8 @@ def signed(df: DataFrame, key: str, text: str) -> DataFrame:
         bands = np.zeros((len(full), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
         for i in range(ROWS):
             bands = mixed(bands * np.uint64(0x9E3779B97F4A7C15) + sig[:, i::ROWS].astype(np.uint64))
-        lanes = np.ascontiguousarray((mixed(sig.astype(np.uint64)) & np.uint64(255)).astype(np.uint8)).view(np.int64)
+        bits = (mixed(sig.astype(np.uint64)) & np.uint64(15)).reshape(len(full), len(LANES), 16)
+        lanes = (bits << np.arange(0, 64, 4, dtype=np.uint64)).sum(2, dtype=np.uint64).view(np.int64)
         take = np.full(len(sets), -1)
         take[full] = np.arange(len(full))
         take = pa.array(take, pa.int64(), mask=take < 0)
@@ -117,44 +122,41 @@ def signed(df: DataFrame, key: str, text: str) -> DataFrame:
             "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
             "cls": pa.array([set_class(sets[i]) for i in full], pa.int64()).take(take),
             "bands": _lists(bands.view(np.int64)).take(take),
-            "lanes": _lists(lanes.reshape(len(full), LANES)).take(take),
+            **{name: pa.array(lanes[:, i]).take(take) for i, name in enumerate(LANES)},
         }
 
     kind = dict(df.dtypes)[key]
-    schema = f"id {kind}, n_shingles bigint, cls bigint, bands array<bigint>, lanes array<bigint>"
+    schema = f"id {kind}, n_shingles bigint, cls bigint, bands array<bigint>, " + ", ".join(f"{n} bigint" for n in LANES)
     return map_batches(df.select(key, text), run, schema)
 
 
-def _equal_positions(x: str, y: str) -> Column:
-    """How many of the bytes in two rows of lanes agree."""
+def _equal_positions() -> Column:
+    """At how many positions the lanes of two nodes, x and y, agree."""
 
-    def unequal(i: int) -> Column:
-        d = F.col(x)[i].bitwiseXOR(F.col(y)[i])
-        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
-            d = d.bitwiseOR(F.shiftrightunsigned(d, shift)).bitwiseAND(F.lit(mask))
-        return F.bit_count(d)
+    def unequal(lane: str) -> Column:
+        d = F.col("x" + lane).bitwiseXOR(F.col("y" + lane))
+        for shift in (2, 1):  # the lowest bit of four gathers all of them
+            d = d.bitwiseOR(F.shiftrightunsigned(d, shift))
+        return F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
 
-    return POSITIONS - reduce(lambda p, q: p + q, (unequal(i) for i in range(LANES)))
+    return POSITIONS - reduce(lambda p, q: p + q, map(unequal, LANES))
 
 
-def _may_link() -> Column:
+def _may_link(least: int) -> Column:
     """Sizes and signatures of two nodes, x and y, allow the similarity asked for."""
     sizes = (100 * F.least("xn", "yn") >= PERCENT * F.greatest("xn", "yn"))
-    return sizes & (_equal_positions("xl", "yl") >= LEAST_EQUAL)
+    return sizes & (_equal_positions() >= least)
 
 
-def _side(nodes: DataFrame, name: str) -> DataFrame:
-    cols = {"cls": name, "n_shingles": f"{name}n", "lanes": f"{name}l"}
-    return nodes.select(*(F.col(c).alias(a) for c, a in cols.items()))
+def _marks(name: str) -> list[Column]:
+    """What a node is compared by, named for one side of a pair."""
+    lanes = (F.col(c).alias(name + c) for c in LANES)
+    return [F.col("cls").alias(name), F.col("n_shingles").alias(name + "n"), *lanes]
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough.
-
-    Sets are made anew from the texts of those documents that occur in a pair.
-    """
-    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    wanted = ends.join(nodes.select("cls", "rep"), "cls")
+def _sets(classes: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(cls, elements): full sets of ``classes``, made anew from the texts of their documents."""
+    wanted = classes.join(nodes.select("cls", "rep"), "cls")
     texts = docs.join(wanted, docs["id"] == wanted["rep"]).select("cls", "text")
 
     def make(batch: pa.RecordBatch) -> dict:
@@ -162,29 +164,71 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
         for c, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
             s = shingles(t)
             if len(s) and set_class(s) == c:  # an id may have another text as well
-                rows.append((c, s.tobytes()))
+                rows.append((c, s.view(np.int64)))
         return {
             "cls": pa.array([r[0] for r in rows], pa.int64()),
-            "elements": pa.array([r[1] for r in rows], pa.binary()),
+            "elements": pa.array([r[1] for r in rows], pa.list_(pa.int64())),
         }
 
-    sets = written(map_batches(texts, make, "cls bigint, elements binary"), "sets")
-
-    def check(batch: pa.RecordBatch) -> dict:
-        good = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-            shared = int((y[at] == x).sum())
-            good.append(100 * shared >= PERCENT * (len(x) + len(y) - shared))
-        return {n: batch.column(n).filter(pa.array(good, pa.bool_())) for n in ("a", "b")}
-
-    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("elements").alias("x")), "a").join(
-        sets.select(F.col("cls").alias("b"), F.col("elements").alias("y")), "b"
+    made = map_batches(texts, make, "cls bigint, elements array<bigint>")
+    return written(made.dropDuplicates(["cls"]), "sets")
+
+
+def _alike() -> Column:
+    """The full sets of x and y are similar enough."""
+    shared = F.size(F.array_intersect("xset", "yset"))
+    return 100 * shared >= PERCENT * (F.size("xset") + F.size("yset") - shared)
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    sets = _sets(ends, nodes, docs)
+    both = pairs.join(sets.select(F.col("cls").alias("a"), F.col("elements").alias("xset")), "a").join(
+        sets.select(F.col("cls").alias("b"), F.col("elements").alias("yset")), "b"
+    )
+    return both.where(_alike()).select("a", "b").distinct()
+
+
+def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, main, cls, comp) of buckets that hold classes of several components.
+
+    ``main`` is the component of the bucket's head.
+    """
+    labelled = members.join(found, members["cls"] == found["node"], "left").select(
+        "bucket", "cls", F.coalesce("component", "cls").alias("comp"), (F.col("cls") == F.col("head")).alias("is_head")
+    )
+    several = (
+        labelled.groupBy("bucket")
+        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("is_head"), F.col("comp"))).alias("main"))
+        .where("low < high")
+        .select("bucket", "main")
     )
-    return map_batches(both.select("a", "b", "x", "y"), check, "a bigint, b bigint").distinct()
+    return written(labelled.join(several, "bucket").select("bucket", "main", "cls", "comp"), "apart")
+
+
+def _between(rest: DataFrame, marks: DataFrame, test: Column, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs (a, b) of a bucket's classes in different components that pass ``test``.
+
+    Of a pair at least one side is outside the component of the bucket's head.
+    ``marks`` has what the test compares, ``extra`` the names of columns beyond a node's.
+    """
+    told = rest.join(marks, "cls")
+    side = lambda n: [*_marks(n), *(F.col(c).alias(n + c) for c in extra)]
+    odd = told.where("comp <> main").select("bucket", F.col("comp").alias("xc"), *side("x"))
+    every = told.select(F.col("bucket").alias("other"), F.col("main").alias("ymain"), F.col("comp").alias("yc"), *side("y"))
+    apart = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("ymain")) | (F.col("x") < F.col("y")))
+    pairs = odd.join(every, (F.col("bucket") == F.col("other")) & apart & test)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _joined(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of ``found`` (node, component) and further links (a, b)."""
+    names = found.select(F.col("node").alias("at"), F.col("component").alias("name"))
+    ends = links.join(names, F.col("a") == F.col("at"), "left").select(F.coalesce("name", "a").alias("a"), "b")
+    ends = ends.join(names, F.col("b") == F.col("at"), "left").select("a", F.coalesce("name", "b").alias("b"))
+    own = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    return components(own.unionByName(ends))
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,10 +238,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     0.75; a component is what links reach, named by its smallest id, and ``kept``
     marks that document. Equal sets make one class, and only classes are compared:
 
-    1. in every band bucket all classes are compared with its smallest one;
-    2. links among these, checked on full sets, give first components;
+    1. in every band bucket all classes are compared, by signature, with two of it, which
+       differ from bucket to bucket; the likest partners of a class are checked first;
+    2. links among these, on full sets, give first components;
     3. where a bucket still holds several components, every pair of classes from
-       different ones is compared. Pairs inside a component add nothing to it.
+       different ones is compared: first pairs with likely links, then, between the
+       components these leave, all others, on full sets inside the join. Pairs inside
+       a component add nothing to it.
 
     Documents without words or text link with nothing. Rows with a null id get their
     class's component and are kept only if it has no id. Rows that repeat an id are
@@ -208,50 +255,33 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     nodes = written(
         marks.where("cls is not null")
         .groupBy("cls")
-        .agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("lanes").alias("lanes")),
+        .agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), *(F.first(c).alias(c) for c in LANES)),
         "classes",
     )
     able = nodes.where("rep is not null")
     members = able.select("cls", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("cls").alias("head"), F.max("cls").alias("last")).where("head < last")
-    members = written(members.join(shared.select("bucket", "head"), "bucket"), "buckets")
-
-    stars = members.where("cls <> head").select(F.col("cls").alias("x"), F.col("head").alias("y")).distinct()
-    stars = stars.join(_side(able, "x"), "x").join(_side(able, "y"), "y").where(_may_link())
-    stars = written(stars.select(F.col("x").alias("a"), F.col("y").alias("b")), "stars")
+    # of the classes of a bucket, those first and last in an order of its own
+    own = F.col("cls").bitwiseXOR(F.col("bucket"))
+    shared = members.groupBy("bucket").agg(F.min(own).alias("first"), F.max(own).alias("last")).where("first < last")
+    heads = [F.col(c).bitwiseXOR(F.col("bucket")).alias(h) for c, h in (("first", "head"), ("last", "tail"))]
+    members = written(members.join(shared.select("bucket", *heads), "bucket"), "buckets")
+
+    stars = members.select(F.col("cls").alias("x"), F.explode(F.array("head", "tail")).alias("y")).where("x <> y").distinct()
+    stars = stars.join(able.select(*_marks("x")), "x").join(able.select(*_marks("y")), "y").where(_may_link(LEAST_EQUAL))
+    likest = Window.partitionBy("x").orderBy(F.desc("equal"), "y")
+    stars = stars.select("x", "y", _equal_positions().alias("equal")).withColumn("nth", F.row_number().over(likest))
+    stars = stars.where(F.col("nth") <= FIRST_CHECKS).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    stars = written(stars.distinct(), "stars")
     links = written(verified(stars, able, docs), "links")
     first = components(links)
 
-    labelled = members.join(first, members["cls"] == first["node"], "left").select(
-        "bucket", "cls", F.coalesce("component", "cls").alias("comp"), (F.col("cls") == F.col("head")).alias("is_head")
-    )
-    mixed_buckets = (
-        labelled.groupBy("bucket")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.when(F.col("is_head"), F.col("comp"))).alias("main"))
-        .where("low < high")
-        .select("bucket", "main")
-    )
-    rest = labelled.join(mixed_buckets, "bucket").select("bucket", "main", "cls", "comp")
-    rest = written(rest.join(able.select("cls", "n_shingles", "lanes"), "cls"), "mixed")
-    odd = rest.where("comp <> main").select(
-        "bucket", F.col("cls").alias("x"), F.col("comp").alias("xc"), F.col("n_shingles").alias("xn"), F.col("lanes").alias("xl")
-    )
-    every = rest.select(
-        F.col("bucket").alias("other"), F.col("main").alias("ymain"), F.col("cls").alias("y"), F.col("comp").alias("yc"),
-        F.col("n_shingles").alias("yn"), F.col("lanes").alias("yl"),
-    )
-    apart = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("ymain")) | (F.col("x") < F.col("y")))
-    pairs = odd.join(every, (F.col("bucket") == F.col("other")) & apart & _may_link())
-    pairs = written(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-    if pairs.isEmpty():
-        final = first
-    else:
-        found = verified(pairs, able, docs)
-        joined = found.join(first.withColumnRenamed("component", "ca"), F.col("a") == F.col("node"), "left").drop("node")
-        joined = joined.join(first.withColumnRenamed("component", "cb"), F.col("b") == F.col("node"), "left").drop("node")
-        between = joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
-        own = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        final = components(own.unionByName(between))
+    marked = able.select("cls", "n_shingles", *LANES)
+    likely = written(_between(_apart(members, first), marked, _may_link(LIKELY_EQUAL)), "likely")
+    second = _joined(first, verified(likely, able, docs))
+    rest = _apart(members, second)
+    sets = _sets(rest.select("cls").distinct(), able, docs).withColumnRenamed("elements", "set")
+    links = _between(rest, marked.join(sets, "cls"), _may_link(LEAST_EQUAL) & _alike(), ("set",))
+    final = _joined(second, links)
 
     named = nodes.select("cls", "rep").join(final, nodes["cls"] == final["node"], "left")
     named = named.select("cls", "rep", F.coalesce("component", "cls").alias("comp"))
