@@ -31,6 +31,8 @@ RATE = 0.1
 L2 = 1e-4
 START_BIAS = -4.0
 THRESHOLD = 0.5
+#: Most labelled texts taken of each class.
+PER_CLASS = 2500
 
 
 def features(word: str) -> list[str]:
@@ -62,8 +64,9 @@ class NoisyOr:
 def _chosen(bags: list[list[list[str]]], y: np.ndarray) -> list[str]:
     """Features that occur in texts of one class far more often than in the other's."""
     counts = [Counter(), Counter()]
+    of_word = Cache(features)
     for bag, label in zip(bags, y):
-        counts[label].update({f for words in bag for w in words for f in features(w)})
+        counts[label].update({f for w in {w for words in bag for w in words} for f in of_word[w]})
     n = np.bincount(y, minlength=2).astype(float)
     names = [f for f in counts[0].keys() | counts[1].keys() if counts[0][f] + counts[1][f] >= 3]
     names.sort()
@@ -84,7 +87,8 @@ def fit(texts: list[str], y: np.ndarray) -> NoisyOr:
     """
     if len(set(y.tolist())) < 2:
         return NoisyOr(START_BIAS if not len(y) or y[0] == 0 else -START_BIAS)
-    bags = [[list(words) for _, _, words in sentences(t)] for t in texts]
+    same: dict[str, str] = {}  # each word is held once
+    bags = [[[same.setdefault(w, w) for w in words] for _, _, words in sentences(t)] for t in texts]
     names = _chosen(bags, y)
     index = {f: i for i, f in enumerate(names)}
     of_word = Cache(lambda w: [index[f] for f in features(w) if f in index])
@@ -184,4 +188,4 @@ def locate(df: DataFrame, model: NoisyOr, text: str = "text", key: str = "doc_id
 
 def trained(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> NoisyOr:
     """A model fitted to a bounded sample (see :mod:`training`) of the labelled rows."""
-    return fit(*labelled_sample(docs, labels, label))
+    return fit(*labelled_sample(docs, labels, label, PER_CLASS))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 #: Most labelled texts taken of each class.
 PER_CLASS = 4000
 #: Most bytes of text taken in all; beyond, the texts last in hash order are left out.
-SAMPLE_BYTES = 48_000_000
+SAMPLE_BYTES = 20_000_000
 
 
 def labelled_sample(
