@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tideline.llm.common import utf8
-from tideline.llm.tokens import WordEncoder
+from tideline.llm.tokens import encoder
 
 END_ID = 2
 TOKENS = 4096
@@ -182,7 +182,7 @@ def pack(
     columns = [key, text, *([prompt] if prompt else [])]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encode = encoder(tokenizer).encode
         packer = Packer(limits)
         number = TaskContext.get().partitionId() << TASK_BITS
 
@@ -210,8 +210,8 @@ def pack(
             kind = batch.schema.field(0).type
             heads = utf8(batch.column(2)) if prompt else [None] * len(batch)
             for name, t, head in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), heads):
-                before = encoder.encode(head or b"")
-                ids = before + encoder.encode(t or b"") + np.array([END_ID], "<u4").tobytes()
+                before = encode(head or b"")
+                ids = before + encode(t or b"") + np.array([END_ID], "<u4").tobytes()
                 packer.add(Piece((name, ids), 0, len(ids) // 4, len(before) // 4))
                 if len(packer.closed) >= 256 and (out := flush()):
                     yield out

@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 import os
+import re
+from functools import lru_cache
 
 import numpy as np
 
-from tideline.llm.common import CACHE_ENTRIES
+from tideline.llm.common import LOWER
 
+#: Words that a process remembers in each of two generations.
+GENERATION = 500_000
 #: Longer words are encoded each time, so that the cache's memory is bounded.
 CACHED_BYTES = 64
+#: A full stop or comma after a letter or digit is a token of its own, also when set apart.
+TRAILING = re.compile(rb"(?<=[a-z0-9])([.,])(?=\s)")
 
 
 class WordEncoder:
     """Ids as the tokenizer gives them, for one that drops white space.
 
     Such a tokenizer treats what stands between ASCII blanks apart from its
-    neighbours, so the ids of a text are those of its words, one after another.
+    neighbours, so the ids of a text are those of its words, one after another. It
+    lower-cases as well, so words that differ by case or a stop are remembered once.
     """
 
     def __init__(self, path: str):
@@ -26,24 +33,40 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        words = text.split()
-        known = self.known
-        new = list(set(words).difference(known))
-        if new:
-            if len(known) + len(new) > CACHE_ENTRIES:
-                known.clear()
-                new = list(set(words))
-            made = self.tokenizer.encode_batch(
-                [w.decode("utf-8", "replace") for w in new], add_special_tokens=False
-            )
-            for w, e in zip(new, made):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        out = b"".join(map(known.__getitem__, words))
+        if b"<|" not in text:  # special tokens are told apart by case
+            text = text.translate(LOWER)
+        words = TRAILING.sub(rb" \1", text).split()
+        new = set(words).difference(self.young)
+        if not new:
+            return b"".join(map(self.young.__getitem__, words))
+        if len(self.young) + len(new) > GENERATION:
+            # words not used since the last change are forgotten, frequent ones move on
+            self.old, self.young, new = self.young, {}, set(words)
+        young, old, unknown = self.young, self.old, []
         for w in new:
+            ids = old.get(w)
+            if ids is None:
+                unknown.append(w)
+            else:
+                young[w] = ids
+        made = self.tokenizer.encode_batch(
+            [w.decode("utf-8", "replace") for w in unknown], add_special_tokens=False
+        )
+        for w, e in zip(unknown, made):
+            young[w] = np.array(e.ids, "<u4").tobytes()
+        out = b"".join(map(young.__getitem__, words))
+        for w in unknown:
             if len(w) > CACHED_BYTES:
-                del known[w]
+                del young[w]
         return out
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """The encoder of this process, with what it remembers from earlier tasks."""
+    return WordEncoder(path)
