@@ -200,7 +200,10 @@ class Codec:
         return count, of_ids.hexdigest(), of_text.hexdigest()
 
 
-codec = lru_cache(maxsize=2)(Codec)
+@lru_cache(maxsize=2)
+def codec(path: str) -> Codec:
+    """The codec of this process, with what it remembers from earlier tasks."""
+    return Codec(path)
 
 
 def encode_column(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
