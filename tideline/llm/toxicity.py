@@ -108,8 +108,8 @@ def fit(texts: list[str], y: np.ndarray) -> NoisyOr:
     for _ in range(ROUNDS):
         w, b = params["w"], params["b"][0]
         z = b + np.bincount(rows, w[cols], minlength=len(owner))
-        total = np.bincount(owner, np.logaddexp(0, z), minlength=len(y))
-        total += plain * np.logaddexp(0, b)
+        total = plain * np.logaddexp(0, b)
+        total += np.bincount(owner, np.logaddexp(0, z), minlength=len(y))
         # of the log-likelihood by the sum of softplus of a text's sentences
         slope = np.where(y == 1, 1 / np.maximum(np.expm1(np.minimum(total, 50)), 1e-3), -1.0)
         slope /= len(y)
