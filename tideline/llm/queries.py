@@ -101,11 +101,11 @@ def op7_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CAP_SQL = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, label, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+  SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
 ), u AS (
   SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS len FROM v
-  WHERE len(e) > 0 AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0
 ), links AS (
   SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE a.len > 0 AND b.len > 0 AND len(a.e) = len(b.e)
