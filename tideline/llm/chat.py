@@ -73,25 +73,26 @@ def _doubled(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     state = written(
         state.select("tree", "node", F.col("at").alias("up"), F.lit(1).cast("bigint").alias("n"), F.col("score").alias("total")), "paths"
     )
+    settled, climbing = state.where("up is null"), state.where("up is not null")
     levels, open_before = [], None
     while True:
-        climbing = state.where("up is not null")
         still = climbing.count()
         if not still or still == open_before:
-            return levels, state.where("up is null").select("tree", "node", "n", "total")
+            return levels, settled.select("tree", "node", "n", "total")
         open_before = still
         levels.append(climbing.select("tree", "node", "up"))
-        above = state.select(
+        above = settled.unionByName(climbing).select(
             F.col("tree").alias("t"), F.col("node").alias("at"), F.col("up").alias("next"), F.col("n").alias("m"), F.col("total").alias("more")
         )
-        state = written(
-            state.join(above, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("at")), "left").select(
+        # Only paths that have not come to their root are joined and written again.
+        step = written(
+            climbing.join(above, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("at"))).select(
                 "tree", "node", F.col("next").alias("up"),
-                (F.col("n") + F.coalesce("m", F.lit(0))).alias("n"),
-                (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
+                (F.col("n") + F.col("m")).alias("n"), (F.col("total") + F.col("more")).alias("total"),
             ),
             "paths",
         )
+        settled, climbing = settled.unionByName(step.where("up is null")), step.where("up is not null")
 
 
 def conversations(
