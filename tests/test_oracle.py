@@ -6,8 +6,6 @@ import __spark_entry__ as entry
 from tideline.plans import catalog, oracle
 from tests.compare import connect, difference
 
-SLOW = {"stream_two_panes", "stream_correlation"}
-
 
 @pytest.fixture(scope="module")
 def con(sf_dir):
@@ -18,7 +16,7 @@ def test_every_query_has_sql():
     assert set(catalog.all_queries()) == set(oracle.all_sql())
 
 
-@pytest.mark.parametrize("name", [q for q in catalog.all_queries() if q not in SLOW])
+@pytest.mark.parametrize("name", list(catalog.all_queries()))
 def test_query_matches_sql(spark, con, sf_dir, name):
     assert difference(spark, con, entry.queries()[name], entry.oracle_sql()[name], sf_dir) is None
 

@@ -150,3 +150,17 @@ def test_correlation_of_one_symbol_is_nan(spark):
     warn, seen = sides(spark)
     got = pairs.correlation_by_window(pairs.count_pairs(warn, seen, "1 day", "inner"))
     assert math.isnan(got.first().correlation)
+
+
+@pytest.mark.parametrize("max_rows", [1000, 2])
+def test_missing_prices_neither_fire_nor_become_the_reference(spark, max_rows):
+    series = (None, float("nan"), 100.0, 111.0, None, float("nan"), 130.0, 131.0)
+    df = prices(spark, [("s", p, i, i) for i, p in enumerate(series)])
+    fired = delta.delta_trigger(df, ["symbol"], max_rows=max_rows)
+    assert sorted(r.arrival for r in fired.collect()) == [3, 6]
+
+
+def test_first_row_of_the_window_at_each_firing(spark):
+    df = prices(spark, [("s", p, i, i) for i, p in enumerate((100.0, 101.0, 111.0, 90.0))])
+    got = delta.first_of_fired(df, "1 second").collect()
+    assert sorted((r.price, r.arrival, r.fired_arrival) for r in got) == [(100.0, 0, 2), (100.0, 0, 3)]

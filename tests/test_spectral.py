@@ -3,7 +3,10 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tideline.operators.spectral import dft, last_text
+from tideline.plans.texts import spectrum_by_value
 
 
 def signal(spark, groups):
@@ -50,3 +53,11 @@ def test_inverse_gives_the_input_back(spark):
 def test_last_text(spark):
     df = spark.createDataFrame([("g", "a", 1), ("g", "b", 2)], "g string, text string, arrival bigint")
     assert last_text(df, ["g"]).first().text == "b"
+
+
+def test_missing_values_keep_their_spectrum(spark):
+    rows = [("a", None, 0), ("b", 3, 1), ("c", None, 2)]
+    df = spark.createDataFrame(rows, "text string, value int, arrival bigint")
+    df = df.withColumn("event_time", F.timestamp_millis("arrival"))
+    got = {(r.key, r.bin): (r.text, r.re) for r in spectrum_by_value(df, "1 second").collect()}
+    assert got == {(None, 0): ("c", 0.0), (None, 1): ("c", 0.0), (3, 0): ("b", 3.0)}

@@ -1,3 +1,4 @@
+import pandas as pd
 """Streams against hand-made panes and against the batch operators."""
 
 import random
@@ -165,3 +166,18 @@ def test_correlation_stream_equals_batch(spark):
     a = {r.window_start: str(round(r.correlation, 9)) for r in got.collect()}
     b = {r.window_start: str(round(r.correlation, 9)) for r in want.collect()}
     assert a == b and len(a) == 6 and set(a.values()) != {"nan"}
+
+
+def test_delta_scan_skips_missing_prices():
+    class Cell:
+        held = None
+
+        def update(self, value):
+            self.held = value
+
+    scan = panes._DeltaScan(["price"], ["price"], "price", "arrival", 0.05, None)
+    scan.cell = Cell()
+    assert scan.visit(pd.DataFrame({"price": [float("nan")]}), None).empty
+    assert scan.cell.held is None
+    hits = scan.visit(pd.DataFrame({"price": [float("nan"), 100.0, 111.0, float("nan"), 130.0]}), None)
+    assert hits["price"].tolist() == [111.0, 130.0] and scan.cell.held == (130.0,)

@@ -49,17 +49,17 @@ def exponential(a: str | Column) -> Column:
 
 
 def complex_text(re: str | Column, im: str | Column) -> Column:
-    """Complex number as text with three decimals.
+    """Complex number as text with three decimals, such as ``1.500 - 0.250i``.
 
-    A pure imaginary number is written without its sign.
+    A part that is written as 0.000 is left out, unless both are; the sign of the
+    imaginary part is only written after a real part.
     """
-    re = F.col(re) if isinstance(re, str) else re
-    im = F.col(im) if isinstance(im, str) else im
-    a = F.format_string("%1.3f", re)
-    b = F.format_string("%1.3f", F.abs(im))
-    return (
-        F.when(b == "0.000", a)
-        .when(a == "0.000", F.concat(b, F.lit("i")))
-        .when(im > 0, F.concat(a, F.lit(" + "), b, F.lit("i")))
-        .otherwise(F.concat(a, F.lit(" - "), b, F.lit("i")))
+    real = F.format_string("%1.3f", F.col(re) if isinstance(re, str) else re)
+    height = F.col(im) if isinstance(im, str) else im
+    size = F.format_string("%1.3f", F.abs(height))
+    has_real, has_imaginary = real != "0.000", size != "0.000"
+    sign = F.when(has_real, F.when(height > 0, " + ").otherwise(" - ")).otherwise("")
+    return F.concat(
+        F.when(has_imaginary & ~has_real, "").otherwise(real),
+        F.when(~has_imaginary, "").otherwise(F.concat(sign, size, F.lit("i"))),
     )

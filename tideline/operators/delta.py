@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import insort
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,7 @@ from tideline.operators.ordered import (
     with_following,
     with_next,
 )
+from tideline.operators.windowed import first_row
 
 THRESHOLD = 0.05
 
@@ -79,6 +81,8 @@ def _fire(price: str, threshold: float):
             ):
                 if start:
                     ref = entry
+                if p is not None and p != p:
+                    p = None  # not a number: as a missing price
                 hit = ref is not None and p is not None and _moved(ref, p, threshold)
                 fired.append(hit)
                 if hit or ref is None:
@@ -278,7 +282,8 @@ def delta_trigger(
 def _entry_prices(prices: DataFrame, cells: Cells, price: str, threshold: float) -> DataFrame:
     """The reference price each cell of a hot key is entered with."""
     keys = cells.keys
-    hot = cells.hot(prices.select(*keys, cells.order, F.col(price).cast("double").alias(price)))
+    known = F.nanvl(F.col(price).cast("double"), F.lit(None).cast("double"))
+    hot = cells.hot(prices.select(*keys, cells.order, known.alias(price)))
     before = Window.partitionBy(*keys).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
     ranges = hot.groupBy(*cells.by).agg(F.min(price).alias("_lo"), F.max(price).alias("_hi"))
     ranges = ranges.select(
@@ -294,6 +299,24 @@ def _entry_prices(prices: DataFrame, cells: Cells, price: str, threshold: float)
     return _in_order(traces, keys, [CELL, "_at"]).mapInArrow(_enter(keys, threshold), entered)
 
 
+def first_of_fired(
+    prices: DataFrame, window: str | Column, threshold: float = THRESHOLD, max_rows: int = MAX_ROWS
+) -> DataFrame:
+    """The first row of the window, once for each firing of its delta trigger.
+
+    Windows are per symbol; ``fired_arrival`` tells the rows that fired. First rows are
+    a partial aggregate, so both sides of the join are spread over symbols and windows.
+    """
+    keys = ["symbol", "window_start", "window_end"]
+    flat = with_window(prices, window)
+    fired = delta_trigger(flat, keys, threshold=threshold, max_rows=max_rows).select(
+        *[F.col(k).alias(f"_f_{k}") for k in keys], F.col("arrival").alias("fired_arrival")
+    )
+    firsts = first_row(prices, window, ["symbol"], ["price", "event_time", "arrival"])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_f_{k}")) for k in keys])
+    return firsts.join(fired, same).select(*firsts.columns, "fired_arrival")
+
+
 def evicted_delta_trigger(
     prices: DataFrame, keys: Sequence[str], keep_ms: int, time_ms: str = "ts_ms",
     order: str = "arrival", price: str = "price", threshold: float = THRESHOLD,

@@ -10,6 +10,7 @@ aggregates. Functions take ``keys`` as column names and return flat
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
@@ -78,12 +79,14 @@ def rolling_mean(
 def sliding_mean(
     df: DataFrame, size: str, slide: str, keys: Sequence[str], value: str = "price"
 ) -> DataFrame:
-    """Mean and count over sliding windows whose size is a multiple of the slide.
+    """Mean and count over sliding windows.
 
-    Rows are summed per slide first; only these partial sums are copied into
-    the windows that overlap them, not the rows.
+    Rows are summed first per greatest common part of size and slide, at whose
+    borders all windows begin and end; only these partial sums are copied into the
+    windows that overlap them, not the rows.
     """
-    pane = df.groupBy(F.window("event_time", slide).alias("_pane"), *keys).agg(
+    part = math.gcd(*[pd.Timedelta(span) // pd.Timedelta("1us") for span in (size, slide)])
+    pane = df.groupBy(F.window("event_time", f"{part} microseconds").alias("_pane"), *keys).agg(
         F.sum(value).alias("_sum"), F.count(value).alias("_n")
     )
     stamped = pane.select(F.col("_pane.start").alias("event_time"), *keys, "_sum", "_n")

@@ -20,7 +20,7 @@ from tideline.operators import (
     windowed,
 )
 from tideline.plans import stocks, texts, tolls
-from tideline.sources import lines, tables
+from tideline.sources import lines, sinks, tables
 from tideline.streaming import native, panes, replay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,12 @@ PRICE_WINDOW = "1 day"
 DAY_MS = 86_400_000
 LATENESS_MS = 23 * tables.HOUR_MS
 
+# Rows of far-future time that close all windows of a stream.
+ROAD_END = {"l_shipdate": "2200-01-01"}
+EVENT_END = {
+    "ts": "2200-01-01", "event_id": -1, "user_id": -1, "value": 0.0, "event_type": "view",
+}
+
 _QUERIES: dict[str, Query] = {}
 
 
@@ -183,7 +189,7 @@ def union_feeds(spark, d):
         tables.table(spark, d, "events")
         .where(F.col("event_type") == kind)
         .select(F.col("user_id").alias("symbol"), F.col("value").alias("price"))
-        for kind in ("click", "view")
+        for kind in ("signup", "click", "view", "purchase", "error")
     ]
     parts = tables.table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("symbol"), F.col("l_extendedprice").alias("price")
@@ -213,6 +219,13 @@ def sliding_mean(spark, d):
     return out.withColumn("mean_price", _r6("mean_price"))
 
 
+@_query
+def sliding_mean_uneven(spark, d):
+    """A size that is no multiple of the slide."""
+    out = windowed.sliding_mean(tables.prices(spark, d), "10 hours", "4 hours", ["symbol"])
+    return out.withColumn("mean_price", _r6("mean_price"))
+
+
 @_query
 def first_of_window(spark, d):
     return windowed.first_row(
@@ -231,6 +244,11 @@ def window_delta_trigger(spark, d):
     return delta.delta_trigger(flat, ["symbol", "window_start", "window_end"])
 
 
+@_query
+def window_delta_first(spark, d):
+    return delta.first_of_fired(tables.prices(spark, d), PRICE_WINDOW)
+
+
 @_query
 def evictor_delta(spark, d):
     prices = tables.prices(spark, d).withColumn("ts_ms", epoch_ms("event_time")).drop("event_time")
@@ -401,6 +419,17 @@ def pane_counts(spark, d):
     return lateness.panes(counts).withColumn("total", _r6("total"))
 
 
+@_query
+def firing_log_rows(spark, d):
+    fired = lateness.panes(lateness.pane_counts(_late(spark, d), ["key"], "value"))
+    return _zoneless(sinks.firing_log(fired, DAY_MS))
+
+
+@_query
+def window_log_rows(spark, d):
+    return sinks.window_log(windowed.window_count(tables.prices(spark, d), PRICE_WINDOW))
+
+
 @_query
 def skewed_event_time(spark, d):
     feed = tables.table(spark, d, "events").select("event_id", epoch_ms("ts").alias("ts_ms"))
@@ -479,18 +508,21 @@ def stream_two_panes(spark, d):
     count = feed.agg(F.max("arrival") + 1).scalar()
     step = (F.col("arrival") * 3 / count).cast("int")
     out = replay.replay(
-        feed, step, 3, lambda s: panes.two_panes(s, ["key"], DAY_MS, LATENESS_MS, "value")
+        feed, step, 3, lambda s: panes.two_panes(s, ["key"], DAY_MS, LATENESS_MS, "value"),
+        {"key": "", "value": 0.0, "event_time": "2200-01-01", "arrival": -1},
     )
     return out.withColumn("total", _r6("total"))
 
 
 @_query
 def stream_segment_speed(spark, d):
+    native.use_rocksdb(spark)
+
     def job(lineitem):
         reports = tables.zoned(tables.vehicles_of(lineitem))
         return tolls.segment_speed(native.allow_late(reports, 60 * DAY_MS, 1), ROAD_WINDOW)
 
-    return _zoneless(replay.once(tables.stream_table(spark, d, "lineitem"), job))
+    return _zoneless(replay.once(tables.stream_table(spark, d, "lineitem"), job, ROAD_END))
 
 
 @_query
@@ -500,7 +532,7 @@ def stream_tolls(spark, d):
         return tolls.tolls(native.allow_late(reports, 60 * DAY_MS, 1), ROAD_WINDOW)
 
     native.use_rocksdb(spark)
-    return _zoneless(replay.once(tables.stream_table(spark, d, "lineitem"), job))
+    return _zoneless(replay.once(tables.stream_table(spark, d, "lineitem"), job, ROAD_END))
 
 
 @_query
@@ -512,7 +544,7 @@ def stream_correlation(spark, d):
         )
 
     native.use_rocksdb(spark)
-    out = replay.once(tables.stream_table(spark, d, "events"), job)
+    out = replay.once(tables.stream_table(spark, d, "events"), job, EVENT_END)
     return _zoneless(out.withColumn("correlation", _r6("correlation")))
 
 
@@ -540,7 +572,8 @@ def _stream_function(spark, d, complexity):
         feed = native.allow_late(tables.zoned(_records_of(events)), DAY_MS, 1)
         return texts.windowed_function(feed, PRICE_WINDOW, complexity)
 
-    return _zoneless(replay.once(tables.stream_table(spark, d, "events"), job))
+    native.use_rocksdb(spark)
+    return _zoneless(replay.once(tables.stream_table(spark, d, "events"), job, EVENT_END))
 
 
 @_query

@@ -209,13 +209,6 @@ SELECT window_start, window_end, car_id, abs_seg, lane, pos, {which}_speed AS sp
 FROM stopped"""
 
 
-def _closed(delay_ms: int, table: str = "lineitem", time: str = "l_shipdate") -> str:
-    return (
-        f"epoch_us(window_end) <= ((SELECT max(epoch_us({time}) // 1000) FROM {table})"
-        f" - {delay_ms}) * 1000"
-    )
-
-
 def _stream_panes() -> str:
     last = f"start_ms + {DAY_MS - 1}"
     late = 23 * HOUR_MS
@@ -232,16 +225,21 @@ c AS (
   FROM (SELECT f.*, ms // {DAY_MS} * {DAY_MS} AS start_ms, wm FROM f JOIN marks USING (part)))
 SELECT key, start_ms AS window_start_ms, 'on_time' AS pane, count(*) AS n,
        round(sum(value), 6) + 0.0 AS total
-FROM c WHERE lateness = 'on_time' AND {last} <= (SELECT max(ms) FROM f) GROUP BY ALL
+FROM c WHERE lateness = 'on_time' GROUP BY ALL
 UNION ALL
 SELECT key, start_ms, 'final', count(*), round(sum(value), 6) + 0.0
-FROM c WHERE lateness <> 'dropped' AND {last} + {late} <= (SELECT max(ms) FROM f) GROUP BY ALL"""
+FROM c WHERE lateness <> 'dropped' GROUP BY ALL"""
 
 
 def all_sql() -> dict[str, str]:
     throughput = (
         "SELECT {w}, count(*) AS n, count(*) // {s} AS per_second FROM events GROUP BY ALL"
     )
+    correlation = PAIRS + f"""SELECT window_start, window_end,
+        round(CASE WHEN stddev_pop(warnings) * stddev_pop(tweets) > 0
+              THEN covar_pop(warnings, tweets) / (stddev_pop(warnings) * stddev_pop(tweets))
+              ELSE 'NaN'::DOUBLE END, 6) + 0.0 AS correlation
+        FROM ({MIRROR}) GROUP BY ALL"""
     prices_with = f"WITH {PRICES}, {WARNINGS}"
     return {
         "segment_speed": f"WITH {VEHICLES}, {SPEED} SELECT * FROM speeds",
@@ -261,11 +259,7 @@ def all_sql() -> dict[str, str]:
         "count_pairs_inner": PAIRS + INNER,
         "cogrouped_counts": PAIRS + MIRROR,
         "joined_counts": PAIRS + INNER,
-        "correlation_by_window": PAIRS + f"""SELECT window_start, window_end,
-            round(CASE WHEN stddev_pop(warnings) * stddev_pop(tweets) > 0
-                  THEN covar_pop(warnings, tweets) / (stddev_pop(warnings) * stddev_pop(tweets))
-                  ELSE 'NaN'::DOUBLE END, 6) + 0.0 AS correlation
-            FROM ({MIRROR}) GROUP BY ALL""",
+        "correlation_by_window": correlation,
         "word_mentions": f"""WITH {WORDS}
             SELECT bucket, symbol, count(*) AS count FROM (
               SELECT bucket, upper(replace(unnest(w), 'ß', 'ss')) AS symbol FROM words)
@@ -275,8 +269,7 @@ def all_sql() -> dict[str, str]:
         "symbol_list_filter": f"""WITH {PRICES} SELECT symbol, price, event_time, arrival
             FROM prices WHERE symbol IN (3, 7, 11)""",
         "union_feeds": """SELECT user_id AS symbol, value AS price FROM events
-            WHERE event_type = 'click'
-            UNION ALL SELECT user_id, value FROM events WHERE event_type = 'view'
+            WHERE event_type IN ('signup', 'click', 'view', 'purchase', 'error')
             UNION ALL SELECT l_suppkey, l_extendedprice FROM lineitem""",
         "rolling_mean": f"""WITH {PRICES} SELECT window_start, window_end, symbol,
             round(avg(price), 6) + 0.0 AS price, window_end - INTERVAL 1 MILLISECOND AS ts
@@ -293,6 +286,12 @@ def all_sql() -> dict[str, str]:
                    s - back * INTERVAL 6 HOUR + INTERVAL 1 DAY AS window_end,
                    symbol, count(*) AS n, round(avg(price), 6) + 0.0 AS mean_price
             FROM slid GROUP BY ALL""",
+        "sliding_mean_uneven": f"""WITH {PRICES}, slid AS (
+              SELECT symbol, price, event_time, {_start(DAY // 6)} - unnest(range(3)) * INTERVAL 4 HOUR AS s
+              FROM prices)
+            SELECT s AS window_start, s + INTERVAL 10 HOUR AS window_end, symbol, count(*) AS n,
+                   round(avg(price), 6) + 0.0 AS mean_price
+            FROM slid WHERE event_time < s + INTERVAL 10 HOUR GROUP BY ALL""",
         "first_of_window": f"""WITH {PRICES} SELECT window_start, window_end, symbol,
             arg_min(price, arrival) AS price, arg_min(event_time, arrival) AS event_time
             FROM prices GROUP BY ALL""",
@@ -300,6 +299,11 @@ def all_sql() -> dict[str, str]:
             SELECT symbol, price, event_time, arrival FROM s WHERE fired""",
         "window_delta_trigger": f"""WITH RECURSIVE {_recursive_delta('symbol, window_start')}
             SELECT window_start, window_end, symbol, price, event_time, arrival FROM s WHERE fired""",
+        "window_delta_first": f"""WITH RECURSIVE {_recursive_delta('symbol, window_start')}
+            SELECT o.window_start, o.window_end, o.symbol, o.price, o.event_time, o.arrival,
+                   s.arrival AS fired_arrival
+            FROM s JOIN p o ON o.symbol = s.symbol AND o.window_start = s.window_start AND o.rn = 1
+            WHERE s.fired""",
         "evictor_delta": f"""WITH RECURSIVE {_recursive_delta('symbol')}
             SELECT f.symbol, f.price, f.arrival, f.ts_ms, min(q.arrival) AS first_arrival,
                    arg_min(q.ts_ms, q.arrival) AS first_ts_ms,
@@ -356,6 +360,13 @@ def all_sql() -> dict[str, str]:
             UNION ALL
             SELECT start_ms, key, 'final', count(*), round(sum(value), 6) + 0.0
             FROM late WHERE lateness <> 'dropped' GROUP BY ALL""",
+        "firing_log_rows": f"""WITH {LATE}
+            SELECT pane, make_timestamp((start_ms + {DAY_MS}) * 1000) AS window_end FROM (
+              SELECT DISTINCT 'on_time' AS pane, start_ms, key FROM late WHERE lateness = 'on_time'
+              UNION ALL
+              SELECT DISTINCT 'final', start_ms, key FROM late WHERE lateness <> 'dropped')""",
+        "window_log_rows": f"""SELECT epoch_us(window_end) // 1000 - 1 AS max_ts, n
+            FROM (SELECT {_win(DAY, 'ts')}, count(*) AS n FROM events GROUP BY ALL)""",
         "skewed_event_time": _skew(),
         "stock_lines": """SELECT event_id AS arrival, 'SYM' || user_id AS symbol, value AS price,
             (epoch_us(ts) // 1000) AS ts, make_timestamp((epoch_us(ts) // 1000) * 1000) AS event_time FROM events""",
@@ -371,23 +382,16 @@ def all_sql() -> dict[str, str]:
             SELECT arrival, (epoch_us(event_time) // 1000) AS time, car_id, speed, 1 AS xway, lane, dir,
                    abs_seg AS seg, pos, 100 + abs_seg AS abs_seg, event_time
             FROM vehicles WHERE lane = 0""",
-        # Streams: a window is out once the watermark, the latest event time less
-        # the allowed delay, has passed its end.
+        # Streams are fed a row of far-future time at the end, so all windows are closed.
         "stream_two_panes": _stream_panes(),
-        "stream_segment_speed": f"""WITH {VEHICLES}, {SPEED}
-            SELECT s.* FROM speeds s WHERE {_closed(60 * DAY_MS - 1)}""",
-        "stream_tolls": f"SELECT * FROM ({TOLLS}) s WHERE {_closed(60 * DAY_MS - 1)}",
-        "stream_correlation": PAIRS + f"""SELECT window_start, window_end,
-            round(covar_pop(warnings, tweets) / (stddev_pop(warnings) * stddev_pop(tweets)), 6)
-              + 0.0 AS correlation
-            FROM ({MIRROR}) s WHERE {_closed(2 * DAY_MS - 1, 'events', 'ts')} GROUP BY ALL""",
+        "stream_segment_speed": f"WITH {VEHICLES}, {SPEED} SELECT * FROM speeds",
+        "stream_tolls": TOLLS,
+        "stream_correlation": correlation,
         "stream_price_warnings": f"""{prices_with}
             SELECT symbol, price, make_timestamp(epoch_us(event_time)) AS event_time, arrival,
                    epoch_us(window_start) // 1000 AS window_start_ms FROM warnings""",
-        "stream_mean_by_value": f"""SELECT * FROM ({MEAN_BY_VALUE}) s
-            WHERE {_closed(DAY_MS - 1, 'events', 'ts')}""",
-        "stream_bigrams": f"""SELECT * FROM ({WINDOW_BIGRAMS}) s
-            WHERE {_closed(DAY_MS - 1, 'events', 'ts')}""",
+        "stream_mean_by_value": MEAN_BY_VALUE,
+        "stream_bigrams": WINDOW_BIGRAMS,
         "stream_delta_trigger": f"""WITH RECURSIVE {_recursive_delta('symbol')}
             SELECT symbol, price, event_time, arrival FROM s WHERE fired""",
         "text_lines": """SELECT conv_id, turn, CAST(length(text) + 3501 AS INTEGER) AS width, text,

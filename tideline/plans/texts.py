@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from tideline.operators.delta import with_window
 from tideline.operators.ngrams import ngram_counts
-from tideline.operators.spectral import dft, last_text
+from tideline.operators.spectral import dft
 from tideline.operators.windowed import int_mean_first_text
 
 
@@ -27,8 +27,7 @@ def spectrum_by_value(records: DataFrame, window: str) -> DataFrame:
     """Transform of the values per window and value, labelled with the last text."""
     flat = with_window(records, window).withColumnRenamed("value", "key")
     keys = ["window_start", "window_end", "key"]
-    bins = dft(flat.withColumn("value", flat["key"]), keys)
-    return bins.join(last_text(flat, keys), keys)
+    return dft(flat.withColumn("value", flat["key"]), keys, label="text")
 
 
 def windowed_function(records: DataFrame, window: str, complexity: int) -> DataFrame:

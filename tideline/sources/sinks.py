@@ -58,6 +58,12 @@ def window_log(counts: DataFrame) -> DataFrame:
     return counts.select(max_ts.alias("max_ts"), "n")
 
 
-def firing_log(panes: DataFrame) -> DataFrame:
-    """Rows ``(pane, window_end)``, one per fired pane, for :func:`append_csv`."""
-    return panes.select("pane", "window_end")
+def firing_log(panes: DataFrame, window_ms: int | None = None) -> DataFrame:
+    """Rows ``(pane, window_end)``, one per fired pane, for :func:`append_csv`.
+
+    Panes that carry ``window_start_ms`` only need the window's length.
+    """
+    if "window_end" in panes.columns:
+        return panes.select("pane", "window_end")
+    end = F.timestamp_millis(F.col("window_start_ms") + window_ms)
+    return panes.select("pane", end.alias("window_end"))

@@ -289,11 +289,13 @@ class _DeltaScan(_Scan):
         ref = old[0] if old else None
         fired = []
         for p in pdf[self.price].tolist():
-            hit = ref is not None and _moved(ref, p, self.threshold)
+            known = p == p  # a missing price comes as NaN
+            hit = known and ref is not None and _moved(ref, p, self.threshold)
             fired.append(hit)
-            if hit or ref is None:
+            if hit or (known and ref is None):
                 ref = p
-        self.cell.update((ref,))
+        if ref is not None:
+            self.cell.update((ref,))
         return pdf[fired]
 
 
@@ -306,7 +308,8 @@ class _WarningScan(_Scan):
         hits = []
         us = pdf["_us"].tolist()
         for p, t, a in zip(pdf[self.price].tolist(), us, pdf[self.arrival].tolist()):
-            if older is not None and _moved(older[0], p, self.threshold):
+            known = older is not None and older[0] == older[0] and p == p
+            if known and _moved(older[0], p, self.threshold):
                 hits.append(older)
             older = (p, t, a)
         self.cell.update(older)
