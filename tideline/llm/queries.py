@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import attention, caps, chat, compression, licenses, packing, spans, superminhash, toxicity, transducer
+from tideline.llm import (
+    attention, caps, chat, compression, divergence, licenses, packing, spans, superminhash, toxicity, transducer,
+)
 from tideline.llm.common import held_out, read, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,15 +133,58 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+DIVERGENCE_SQL = r"""
+WITH told AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+  FROM documents
+), words AS (
+  SELECT d, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM told
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 3
+), langs AS (
+  SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+), counts AS (
+  SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term
+), groups AS (
+  SELECT g.lang, g.source, CAST(coalesce(sum(n), 0) AS BIGINT) AS total
+  FROM (SELECT DISTINCT lang, source FROM told) g LEFT JOIN counts USING (lang, source) GROUP BY g.lang, g.source
+), shares AS (
+  SELECT lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    CAST(1 + CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1) // (g.total + l.v) AS HUGEINT) AS p,
+    CAST(1 + CAST(1000000000 AS HUGEINT) * (k.n + 1) // (l.total + l.v) AS HUGEINT) AS q
+  FROM groups g JOIN langs l USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c USING (lang, source, term)
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, s.value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+    FROM shares x JOIN shares y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+  ) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT lang, source, part, item, CAST(coalesce(value, 0) AS BIGINT) AS value,
+    CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY coalesce(value, 0) DESC, item) AS INTEGER) AS rank
+  FROM found
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def all_queries() -> dict[str, Query]:
     found = (
         op1_chat_paths,
         op2_compression_bands, op3_noisy_or_toxicity, op4_attention_quality,
         op5_sentence_spans, op6_streaming_bpe,
         op7_cap_filters, op8_diagonal_voting, op9_vector_packing, op10_superminhash,
+        op13_source_divergence,
     )
     return {f.__name__: f for f in found}
 
 
 def all_sql() -> dict[str, str]:
-    return {"op1_chat_paths": CHAT_SQL, "op7_cap_filters": CAP_SQL}
+    return {"op1_chat_paths": CHAT_SQL, "op7_cap_filters": CAP_SQL, "op13_source_divergence": DIVERGENCE_SQL}
