@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import (
-    attention, caps, chat, compression, divergence, licenses, packing, spans, superminhash, toxicity, transducer,
+    attention, caps, chat, compression, divergence, licenses, packing, repair, spans, superminhash, toxicity, transducer,
 )
-from tideline.llm.common import held_out, read, tokenizer_file
+from tideline.llm.common import held_out, read, tokenizer_file, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -133,6 +133,115 @@ def op10_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def damaged_conversations(conversations: DataFrame) -> DataFrame:
+    """``conversations`` damaged by a checksum of conv_id and turn; dropped rows are not ``alive``."""
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fate = F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn")).cast("binary")) % 20
+    text, role = shown("text"), shown("role")
+    return conversations.select(
+        "conv_id", "turn",
+        F.when(fate == 4, "user").otherwise(role).alias("role"),
+        F.when(fate == 1, "").when(fate == 2, F.translate(text, ".!?", "")).otherwise(text).alias("text"),
+        (fate != 0).alias("alive"),
+        F.explode(F.when(fate == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+
+
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damaged_conversations(read(spark, sf_dir, "conversations"))
+    found = written(repair.faults(rows, "conv_id", "turn", "role", "text", F.col("alive")), "faults")
+    verdict = written(repair.verdicts(found), "verdicts")
+    return repair.with_digest(found, verdict).withColumnRenamed("conv", "conv_id")
+
+
+REPAIR_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT n, 0 AS k, CAST(n AS BIGINT) AS c FROM range(256) t(n)
+  UNION ALL
+  SELECT n, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_table WHERE k < 8
+), told AS (
+  SELECT row_number() OVER () AS id, conv_id AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+  FROM conversations
+), crc AS (
+  SELECT name, 0 AS k, CAST(4294967295 AS BIGINT) AS c FROM (SELECT DISTINCT name FROM told)
+  UNION ALL
+  SELECT crc.name, crc.k + 1, xor(t.c, crc.c >> 8) FROM crc
+  JOIN crc_table t ON t.k = 8 AND t.n = xor(crc.c, CAST(ascii(substr(crc.name, crc.k + 1, 1)) AS BIGINT)) % 256
+  WHERE crc.k < length(crc.name)
+), fates AS (
+  SELECT told.*, xor(c, 4294967295) % 20 AS fate FROM told JOIN crc ON crc.name = told.name AND crc.k = length(told.name)
+), damaged AS (
+  SELECT conv, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM fates, (VALUES (0), (1)) twice(n) WHERE fate <> 0 AND (n = 0 OR fate = 3)
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) - 1 AS row FROM damaged
+), judged AS (
+  SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY row) AS before,
+    row_number() OVER (PARTITION BY conv, role, text ORDER BY row) AS seen,
+    regexp_extract(text, '([^ 	-
+])[ 	-
+]*$', 1) AS tail
+  FROM placed
+), faults AS (
+  SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+    WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'none' END AS fault FROM judged
+), coded AS (
+  SELECT conv, row, CASE WHEN fault IN ('blank', 'duplicate') THEN 'd' WHEN initial IN ('s', 'u', 'a') THEN initial
+    ELSE 'x' END AS kind, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM faults
+), follow(s, t) AS (VALUES (0, 2), (1, 2), (2, 3), (3, 2)),
+kinds(kind, own) AS (VALUES ('s', 1), ('u', 2), ('a', 3), ('x', -1), ('d', -1)),
+edits AS (
+  SELECT kind, s, 'D' AS edit, s AS t, 2 AS cost, 0 AS takes FROM kinds, follow
+  UNION ALL SELECT kind, s, 'K', own, 0, 1 FROM kinds, follow WHERE own = t OR (own = 1 AND s = 0)
+  UNION ALL SELECT kind, s, 'R', t, 1, 1 FROM kinds, follow WHERE own <> t AND kind <> 'd'
+), moves AS (
+  SELECT * FROM edits
+  UNION ALL SELECT kind, e.s, edit || 'I', f.t, cost + 5, takes FROM edits e JOIN follow f ON f.s = e.t
+  UNION ALL SELECT kind, e.s, edit || 'II', g.t, cost + 10, takes
+    FROM edits e JOIN follow f ON f.s = e.t JOIN follow g ON g.s = f.t
+), best AS (
+  SELECT conv, CAST(0 AS BIGINT) AS row, s, {'c': c, 'a': a} AS label
+  FROM (SELECT DISTINCT conv FROM coded), (VALUES (0, 0, ''), (2, 5, 'I'), (3, 10, 'II')) first(s, c, a)
+  UNION ALL
+  SELECT b.conv, b.row + 1, m.t, min({'c': b.label.c + m.cost + m.takes * r.more, 'a': b.label.a || m.edit})
+  FROM best b JOIN coded r ON r.conv IS NOT DISTINCT FROM b.conv AND r.row = b.row
+  JOIN moves m ON m.kind = r.kind AND m.s = b.s GROUP BY b.conv, b.row, m.t
+), stats AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM faults GROUP BY conv
+), repairs AS (
+  SELECT b.conv, min(label) AS label FROM best b JOIN stats s ON s.conv IS NOT DISTINCT FROM b.conv AND s.n = b.row
+  WHERE b.s IN (0, 3) GROUP BY b.conv
+), letters AS (
+  SELECT conv, label.a AS audit, length(replace(label.a, 'D', '')) AS size, unnest(range(1, length(label.a) + 1)) AS k
+  FROM repairs
+), turns AS (
+  SELECT conv, substr(audit, k, 1) AS edit, size, length(replace(left(audit, k - 1), 'I', '')) AS row,
+    length(replace(left(audit, k - 1), 'D', '')) AS place FROM letters
+), lines AS (
+  SELECT t.conv, place, CASE WHEN edit = 'K' THEN f.role WHEN (place - size % 2) % 2 = 0 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN edit = 'I' THEN '' ELSE f.text END AS line
+  FROM turns t JOIN faults f ON f.conv IS NOT DISTINCT FROM t.conv AND (f.row = t.row OR t.edit = 'I' AND f.row = 0)
+  WHERE edit <> 'D'
+), texts AS (
+  SELECT conv, string_agg(line, chr(10) ORDER BY place) AS told FROM lines GROUP BY conv
+)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+  CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(label.c, 0) AS BIGINT) AS cost,
+  coalesce(label.a, '') AS audit, sha256(coalesce(told, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN stats s ON s.conv IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN repairs r ON r.conv IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN texts t ON t.conv IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
 
@@ -181,10 +290,15 @@ def all_queries() -> dict[str, Query]:
         op2_compression_bands, op3_noisy_or_toxicity, op4_attention_quality,
         op5_sentence_spans, op6_streaming_bpe,
         op7_cap_filters, op8_diagonal_voting, op9_vector_packing, op10_superminhash,
-        op13_source_divergence,
+        op11_structure_repair, op13_source_divergence,
     )
     return {f.__name__: f for f in found}
 
 
 def all_sql() -> dict[str, str]:
-    return {"op1_chat_paths": CHAT_SQL, "op7_cap_filters": CAP_SQL, "op13_source_divergence": DIVERGENCE_SQL}
+    return {
+        "op1_chat_paths": CHAT_SQL,
+        "op7_cap_filters": CAP_SQL,
+        "op11_structure_repair": REPAIR_SQL,
+        "op13_source_divergence": DIVERGENCE_SQL,
+    }
