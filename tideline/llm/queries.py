@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import (
-    attention, caps, chat, compression, divergence, licenses, packing, repair, spans, superminhash, toxicity, transducer,
+    attention, caps, chat, compression, divergence, html, licenses, packing, repair, spans, superminhash, toxicity, transducer,
 )
 from tideline.llm.common import held_out, read, tokenizer_file, written
 
@@ -242,6 +242,10 @@ LEFT JOIN texts t ON t.conv IS NOT DISTINCT FROM o.conv_id
 """
 
 
+def op12_tree_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
 
@@ -290,7 +294,7 @@ def all_queries() -> dict[str, Query]:
         op2_compression_bands, op3_noisy_or_toxicity, op4_attention_quality,
         op5_sentence_spans, op6_streaming_bpe,
         op7_cap_filters, op8_diagonal_voting, op9_vector_packing, op10_superminhash,
-        op11_structure_repair, op13_source_divergence,
+        op11_structure_repair, op12_tree_scoring, op13_source_divergence,
     )
     return {f.__name__: f for f in found}
 
