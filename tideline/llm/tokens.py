@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -9,6 +10,7 @@ from functools import lru_cache
 import numpy as np
 
 from tideline.llm.common import LOWER
+from tideline.llm.transducer import byte_symbols
 
 #: Words that a process remembers in each of two generations.
 GENERATION = 500_000
@@ -16,14 +18,40 @@ GENERATION = 500_000
 CACHED_BYTES = 64
 #: A full stop or comma after a letter or digit is a token of its own, also when set apart.
 TRAILING = re.compile(rb"(?<=[a-z0-9])([.,])(?=\s)")
+#: So are other ASCII marks after a small letter, where no special token is in the text.
+MARKS = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\x9f-\xb6\xb8-\xbf]))([!-/:-@\[-`{-~]+)(?=\s)")
+#: Small ASCII and Latin-1 letters: no step before the model changes or cuts such a word.
+PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Steps before the model that make a text the sum of its words (fixed values).
+WORDWISE = {
+    "normalizer": ["NFC", "Replace", "Lowercase"],
+    "split": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",
+}
+
+
+def _is_wordwise(path: str) -> bool:
+    """Whether the file lower-cases, drops white space and cuts words as this module expects."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    cutters = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return (
+        [s["type"] for s in steps] == WORDWISE["normalizer"]
+        and [c["type"] for c in cutters] == ["Split", "ByteLevel"]
+        and cutters[0]["pattern"] == {"Regex": WORDWISE["split"]}
+        and cutters[0]["behavior"] == "Removed" and cutters[0]["invert"]
+        and not cutters[1]["add_prefix_space"] and not cutters[1]["use_regex"]
+        and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+    )
 
 
 class WordEncoder:
-    """Ids as the tokenizer gives them, for one that drops white space.
+    """Ids as the tokenizer gives them, with words remembered for one that drops white space.
 
     Such a tokenizer treats what stands between ASCII blanks apart from its
     neighbours, so the ids of a text are those of its words, one after another. It
-    lower-cases as well, so words that differ by case or a stop are remembered once.
+    lower-cases as well, so words that differ by case or marks behind them are
+    remembered once. With any other tokenizer texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -33,14 +61,34 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.wordwise = _is_wordwise(path)
+        self.model = self.tokenizer.model
+        self.symbols = {b: c for c, b in byte_symbols().items()}
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    def _whole(self, texts: list[bytes]) -> list[list[int]]:
+        made = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [e.ids for e in made]
+
+    def _made(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words; plain ones need the model of the tokenizer only."""
+        plain = {i for i, w in enumerate(words) if PLAIN.fullmatch(w)}
+        others = iter(self._whole([w for i, w in enumerate(words) if i not in plain]))
+        symbols, model = self.symbols, self.model
+        return [
+            [t.id for t in model.tokenize(w.decode("latin-1").translate(symbols))] if i in plain else next(others)
+            for i, w in enumerate(words)
+        ]
+
     def encode(self, text: bytes) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if b"<|" not in text:  # special tokens are told apart by case
-            text = text.translate(LOWER)
-        words = TRAILING.sub(rb" \1", text).split()
+        if not self.wordwise:
+            return np.array(self._whole([text])[0], "<u4").tobytes()
+        if b"<|" in text:  # special tokens are told apart by case, and end in a mark
+            words = TRAILING.sub(rb" \1", text).split()
+        else:
+            words = MARKS.sub(rb" \1", TRAILING.sub(rb" \1", text.translate(LOWER))).split()
         new = set(words).difference(self.young)
         if not new:
             return b"".join(map(self.young.__getitem__, words))
@@ -54,11 +102,8 @@ class WordEncoder:
                 unknown.append(w)
             else:
                 young[w] = ids
-        made = self.tokenizer.encode_batch(
-            [w.decode("utf-8", "replace") for w in unknown], add_special_tokens=False
-        )
-        for w, e in zip(unknown, made):
-            young[w] = np.array(e.ids, "<u4").tobytes()
+        for w, ids in zip(unknown, self._made(unknown)):
+            young[w] = np.array(ids, "<u4").tobytes()
         out = b"".join(map(young.__getitem__, words))
         for w in unknown:
             if len(w) > CACHED_BYTES:
