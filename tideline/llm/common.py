@@ -84,6 +84,25 @@ class Cache(dict):
         return value
 
 
+class Generations(dict):
+    """A cache that forgets, when full, what has not been used since it was last full."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make = make
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 WORD_HASH = Cache(xxhash.xxh64_intdigest)
 
 

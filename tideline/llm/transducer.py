@@ -13,6 +13,7 @@ import codecs
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tideline.llm.common import Cache, map_batches
+from tideline.llm.common import Generations, map_batches
 
 #: Characters that the pretokens' pattern counts as white space (fixed values).
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -75,6 +76,7 @@ class Merges:
 
     def __init__(self, tokens: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         self.ids = tokens
+        self.of_byte = [tokens.get(bytes([b])) for b in range(256)]
         self.rank = {(tokens[a], tokens[b]): i for i, (a, b) in enumerate(merges)}
         self.made = [tokens[a + b] for a, b in merges]
         self.size = {i: len(t) for t, i in tokens.items()}
@@ -82,24 +84,20 @@ class Merges:
 
     def encode(self, data: bytes) -> list[int]:
         """Ids of one pretoken: the merge of the best rank, leftmost first, until none applies."""
-        ids = [self.ids[data[i : i + 1]] for i in range(len(data))]
+        ids = [self.of_byte[b] for b in data]
         rank, made = self.rank.get, self.made
-        while len(ids) > 1:
-            ranks = [rank(p, NEVER) for p in zip(ids, ids[1:])]
+        ranks = [rank(p, NEVER) for p in zip(ids, ids[1:])]
+        while ranks:
             best = min(ranks)
             if best == NEVER:
                 break
-            new, out, i, end = made[best], [], 0, len(ranks)
-            while i < end:
-                if ranks[i] == best:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            if i == end:
-                out.append(ids[i])
-            ids = out
+            i = ranks.index(best)
+            ids[i : i + 2] = [made[best]]
+            del ranks[i]  # only the pairs beside the new token change
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), NEVER)
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), NEVER)
         return ids
 
     def stream(self, parts: Iterable[bytes]) -> Iterator[list[int]]:
@@ -138,14 +136,16 @@ class Codec:
         self.apart = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.bytes_of = {i: t for t, i in self.merges.ids.items()} | {i: t.encode() for t, i in self.special.items()}
         self.window = max(64, 2 * self.merges.lookahead)
-        self.units = Cache(self._unit)
+        self.units = Generations(self._unit)
+        self.pretokens = Generations(self._pretoken)
 
     def _unit(self, unit: str) -> bytes:
         """Ids, as little-endian 32-bit integers, of the pretokens of a short unit."""
-        ids: list[int] = []
-        for p in PRETOKEN.findall(unit):
-            ids += self.merges.encode(p.encode())
-        return np.array(ids, "<u4").tobytes()
+        return b"".join(map(self.pretokens.__getitem__, PRETOKEN.findall(unit)))
+
+    def _pretoken(self, pretoken: str) -> bytes:
+        ids = self.merges.encode(pretoken.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _long(self, unit: str) -> Iterator[bytes]:
         """The same for one of any length, in bounded parts."""
