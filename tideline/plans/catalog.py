@@ -413,6 +413,11 @@ def late_classification(spark, d):
     )
 
 
+@_query
+def punctuated_watermark(spark, d):
+    return lateness.punctuated_watermarks(tables.late_feed(spark, d), 2 * tables.HOUR_MS)
+
+
 @_query
 def pane_counts(spark, d):
     counts = lateness.pane_counts(_late(spark, d), ["key"], "value")
@@ -548,6 +553,17 @@ def stream_correlation(spark, d):
     return _zoneless(out.withColumn("correlation", _r6("correlation")))
 
 
+@_query
+def stream_joined_counts(spark, d):
+    def job(events):
+        return stocks.joined_stream(
+            tables.zoned(tables.prices_of(events)), tables.zoned(tables.mentions_of(events)), DAY_MS, 1
+        )
+
+    native.use_rocksdb(spark)
+    return _zoneless(replay.once(tables.stream_table(spark, d, "events"), job, EVENT_END))
+
+
 @_query
 def stream_delta_trigger(spark, d):
     native.use_rocksdb(spark)

@@ -353,6 +353,18 @@ def all_sql() -> dict[str, str]:
         "spectrum_by_value": SPECTRUM,
         "late_classification": f"""WITH {LATE} SELECT lateness, start_ms AS window_start_ms,
             count(*) AS n FROM late GROUP BY ALL""",
+        "punctuated_watermark": f"""WITH RECURSIVE feed AS (
+              SELECT event_id AS arrival, epoch_us(ts) // 1000 AS arrival_ms,
+                     epoch_us(ts) // 1000 - (event_id % 4) * 12 * {HOUR_MS} AS ts_ms FROM events),
+            moves AS (
+              SELECT arrival, CAST(NULL AS BIGINT) AS watermark_ms,
+                     (arrival_ms // {2 * HOUR_MS} + 1) * {2 * HOUR_MS} AS boundary_ms
+              FROM (SELECT * FROM feed ORDER BY arrival, ts_ms LIMIT 1)
+              UNION ALL
+              SELECT x.arrival, x.ts_ms, (x.ts_ms // {2 * HOUR_MS} + 1) * {2 * HOUR_MS}
+              FROM (SELECT arg_min(f, f.arrival) AS x FROM moves m, feed f
+                    WHERE f.arrival > m.arrival AND f.ts_ms > m.boundary_ms) WHERE x IS NOT NULL)
+            SELECT * FROM moves WHERE watermark_ms IS NOT NULL""",
         "pane_counts": f"""WITH {LATE}
             SELECT start_ms AS window_start_ms, key, 'on_time' AS pane, count(*) AS n,
                    round(sum(value), 6) + 0.0 AS total
@@ -387,6 +399,7 @@ def all_sql() -> dict[str, str]:
         "stream_segment_speed": f"WITH {VEHICLES}, {SPEED} SELECT * FROM speeds",
         "stream_tolls": TOLLS,
         "stream_correlation": correlation,
+        "stream_joined_counts": PAIRS + INNER,
         "stream_price_warnings": f"""{prices_with}
             SELECT symbol, price, make_timestamp(epoch_us(event_time)) AS event_time, arrival,
                    epoch_us(window_start) // 1000 AS window_start_ms FROM warnings""",

@@ -68,3 +68,20 @@ def correlation_stream(
     counts = pair_stream(prices, mentions, window_ms, past_windows, one_sided)
     out = counts.groupBy("window").agg(guarded_correlation(*SIDES).alias("correlation"))
     return window_bounds(out)
+
+
+def joined_stream(
+    prices: DataFrame, mentions: DataFrame, window_ms: int, past_windows: int
+) -> DataFrame:
+    """Streaming counts of warnings and mentions, joined per window and symbol.
+
+    Two windowed counts, each in append mode, meet in an inner stream-stream join.
+    The window carries the watermark, so the join's state holds open windows only.
+    """
+    warned = warning_stream(prices, window_ms, allowed_lateness_ms(window_ms, past_windows))
+    feeds = zip(SIDES, (warned, allow_late(mentions, window_ms, past_windows)))
+    by_window = F.window("event_time", f"{window_ms} milliseconds").alias("window")
+    left, right = (
+        feed.groupBy(by_window, "symbol").agg(F.count(F.lit(1)).alias(side)) for side, feed in feeds
+    )
+    return window_bounds(left.join(right, ["window", "symbol"], "inner"))
