@@ -100,9 +100,12 @@ def kept_terms(df: DataFrame, text: str = "text", lang: str = "lang", source: st
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(UNIT (count + PRIOR) / (total + PRIOR terms)), in decimals so that nothing overflows."""
+    """1 + floor(UNIT (count + PRIOR) / (total + PRIOR terms)), in decimals so that nothing overflows.
+
+    Where a language keeps no term no share is used, and any will do.
+    """
     top = (count + F.lit(PRIOR)).cast("decimal(20,0)") * F.lit(UNIT).cast("decimal(10,0)")
-    below = (total + F.lit(PRIOR) * terms).cast("decimal(20,0)")
+    below = F.greatest(total + F.lit(PRIOR) * terms, F.lit(1)).cast("decimal(20,0)")
     return F.lit(1) + F.call_function("div", top, below)
 
 
