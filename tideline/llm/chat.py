@@ -163,10 +163,14 @@ def conversations(
     )
 
 
-def from_turns(df: DataFrame, key: str = "conv_id", turn: str = "turn") -> DataFrame:
+def from_turns(
+    df: DataFrame, key: str = "conv_id", turn: str = "turn", node: str = "node", parent: str = "parent"
+) -> DataFrame:
     """Rows of linear conversations as a reply tree: each row answers the one before.
 
-    Adds ``node`` and ``parent``; rows are ordered by turn, then role and text.
+    Adds the columns ``node`` and ``parent``, in place of columns of these names; choose
+    others to keep those. Rows are ordered by turn, then role and text.
     """
     order = Window.partitionBy(key).orderBy(turn, "role", "text")
-    return df.select("*", F.row_number().over(order).alias("node")).withColumn("parent", F.col("node") - 1)
+    at = F.row_number().over(order)
+    return df.withColumns({node: at, parent: at - 1})

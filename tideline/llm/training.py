@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 #: Most labelled texts taken of each class.
 PER_CLASS = 4000
-#: Most bytes of text taken in all; beyond, the texts last in hash order are left out.
+#: Most bytes of text taken in all; a text that does not fit in what is left is passed over.
 SAMPLE_BYTES = 20_000_000
 
 
@@ -21,8 +21,10 @@ def labelled_sample(
 ) -> tuple[list[str], np.ndarray]:
     """Texts and 0/1 labels, the first of each class in the order of a hash of the id.
 
-    Rows without a label, text or id take no part. Only ids are sorted; texts are
-    fetched for the chosen ones, which the two bounds keep small.
+    Rows without a label, text or id take no part; of rows that repeat an id the
+    smallest text counts. Only ids are sorted; texts are fetched for the chosen ones,
+    which the two bounds keep small: a text longer than what is left of the bytes is
+    passed over and the next one tried. Empty tables give an empty sample.
     """
     known = (
         labels.where(F.col(label).isin(0, 1))
@@ -34,13 +36,19 @@ def labelled_sample(
     halves = [known.where(F.col("y") == y).orderBy("at", "doc_id").limit(per_class) for y in (0, 1)]
     chosen = halves[0].unionByName(halves[1])
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
-    found = texts.join(F.broadcast(chosen), "doc_id").select(
-        "y", "at", "text", F.octet_length("text").alias("size")
-    )
-    sizes = found.select("y", "at", "size").orderBy("at").toPandas()
-    allowed = int((sizes["size"].cumsum() <= max_bytes).sum())
-    last = int(sizes["at"].iloc[allowed - 1]) if allowed else -(2**63)
-    rows = found.where(F.col("at") <= last).select("y", "at", "text").toPandas()
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("at", "doc_id", "y").agg(F.min("text").alias("text"))
+    sizes = found.select("at", F.octet_length("text").alias("size")).orderBy("at", "doc_id").toPandas()
+    last, skipped, left = -(2**63), [], max_bytes
+    for at, size in zip(sizes["at"].tolist(), sizes["size"].tolist()):
+        if size <= left:
+            last, left = at, left - size
+        else:
+            skipped.append(at)
+    skipped = [at for at in skipped if at <= last]
+    fitting = F.col("at") <= last
+    if skipped:
+        fitting &= ~F.col("at").isin(skipped)
+    rows = found.where(fitting).select("y", "at", "text").toPandas()
     rows = rows.sort_values(["at", "text"], ignore_index=True)
     return list(rows["text"]), rows["y"].to_numpy(np.int64)
 
