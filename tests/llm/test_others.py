@@ -10,7 +10,8 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from tests.compare import connect, difference
 from tests.llm.helpers import awkward_rows, documents, prose
-from tideline.llm import attention, caps, chat, toxicity, training
+from tideline.llm import attention, caps, chat, compression, toxicity, training
+from tideline.llm.common import filter_batches
 from tideline.llm.components import components
 
 TREE = "tree bigint, node bigint, parent bigint, role string, text string, score double, name string, n bigint"
@@ -140,6 +141,81 @@ def test_sample_is_bounded_and_reproducible(spark):
     assert len(training.labelled_sample(docs, labels, "toxic", max_bytes=75)[0]) == 7
 
 
+def test_sample_passes_over_texts_that_do_not_fit(spark):
+    rows = [(i, "w" * (700 if i < 10 else 10)) for i in range(50)]
+    docs = documents(spark, rows + rows[20:] + rows[20:])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id bigint, toxic int")
+    texts, y = training.labelled_sample(docs, labels, "toxic", max_bytes=600)
+    assert sorted(map(len, texts)) == [10] * 40
+    assert training.labelled_sample(docs, labels, "toxic", max_bytes=5)[0] == []
+    assert training.labelled_sample(documents(spark, []), labels, "toxic")[0] == []
+
+
+def test_filters_keep_all_columns_and_long_texts(spark):
+    rows = [(i, t) for i, t in enumerate([None, "", "x" * 9_000_000, "b" * 3, *("a" * i for i in range(50))])]
+    docs = documents(spark, rows)
+    kept = filter_batches(docs, "text", lambda texts: [t is not None and len(t) % 3 == 0 for t in texts], raw=True)
+    assert kept.columns == docs.columns
+    want = [i for i, t in rows if t is not None and len(t) % 3 == 0]
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == want
+
+
+def test_turns_with_columns_named_as_the_trees(spark):
+    rows = [(1, 0, "user", "a", 9, 8), (1, 1, "assistant", "b", 9, 8), (2, 0, "user", None, 9, 8)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string, node int, parent int")
+    made = chat.conversations(chat.from_turns(df), "conv_id", "node", "parent").collect()
+    assert sorted((r.tree, r.n_turns) for r in made) == [(1, 2), (2, 1)]
+    other = chat.from_turns(df, node="at", parent="above")
+    assert {(r.node, r.parent) for r in other.collect()} == {(9, 8)}
+
+
+def _alike(a, b):
+    def grams(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    x, y = grams(a), grams(b)
+    return bool(x and y) and 100 * len(x & y) >= 75 * len(x | y)
+
+
+def test_near_copies_are_judged_row_by_row(spark, sf_dir):
+    """Against a plain loop over all pairs, with null ids and ids of several texts."""
+    one, two, other = prose(1, 200), prose(2, 150), prose(3, 90)
+    near = one.replace("bana", "bano", 1)
+    rows = [
+        (4, one), (4, two), (4, near), (5, two), (None, one), (None, other), (None, other), (None, None),
+        (6, ""), (6, None), (2, other), (9, prose(8, 20_000)), (9, prose(8, 20_000)), *awkward_rows(),
+    ]
+    got = corpus_pipeline.drop_near_copies(spark, documents(spark, rows), sf_dir).collect()
+    different = list(dict.fromkeys(rows))
+    group = list(range(len(different)))
+    for i in range(len(different)):
+        for j in range(i):
+            if _alike(different[i][1], different[j][1]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    want = []
+    for g in set(group):
+        members = [different[i] for i in range(len(group)) if group[i] == g]
+        want.append(min((m[0] is None, m[0] or 0) for m in members))
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in got) == sorted(want)
+    again = corpus_pipeline.drop_near_copies(spark, documents(spark, rows[::-1]).repartition(7), sf_dir).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_later_stages_of_the_pipeline_on_awkward_rows(spark, sf_dir):
+    docs = documents(spark, awkward_rows())
+    fitting = corpus_pipeline.drop_low_quality(spark, docs, sf_dir)
+    assert fitting.columns == docs.columns
+    want = Counter(r.doc_id for r in compression.compression_rules(docs).where("kept").collect())
+    assert Counter(r.doc_id for r in fitting.collect()) == want and want[2] == 2
+    cleaned = corpus_pipeline.drop_repeats(spark, docs, sf_dir).collect()
+    assert all(r.text is None or r.text and r.n_chars == len(r.text) for r in cleaned)
+    assert {1, None, 7, 8} <= {r.doc_id for r in cleaned}
+    pieces = corpus_pipeline.pack_sequences(spark, docs, sf_dir).collect()
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == Counter(i for i, _ in awkward_rows())
+
+
 def test_pipeline_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "quality rules", "near-duplicates", "repeated spans", "packing"]

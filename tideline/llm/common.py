@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from tideline.session import shared_dir
 
 #: Entries a task keeps of what it has worked out for words; it starts anew beyond.
 CACHE_ENTRIES = 400_000
+#: Bytes of text turned into Python objects at once.
+PIECE_BYTES = 4_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,17 +55,30 @@ def map_batches(
 def filter_batches(df: DataFrame, text: str, keep: Callable[[list], list[bool]], raw: bool) -> DataFrame:
     """The rows of ``df`` whose text ``keep`` says True of, with all their columns.
 
-    ``keep`` gets the texts of a batch, as bytes if ``raw``.
+    ``keep`` gets some texts at a time, as bytes if ``raw``. Only the texts go to the
+    Python workers and only verdicts come back; the rows stay in the JVM, which spills
+    them.
     """
-    at = df.columns.index(text)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(at)
-            good = keep(utf8(column) if raw else column.to_pylist())
-            yield batch.filter(pa.array(good, pa.bool_()))
-
-    return df.mapInArrow(run, df.schema)
+    @F.arrow_udf("boolean")
+    def good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            verdicts = []
+            for part in pieces(column):
+                verdicts += keep(utf8(part) if raw else part.to_pylist())
+            yield pa.array(verdicts, pa.bool_())
+
+    return df.where(good(F.col(text)))
+
+
+def pieces(column: pa.Array) -> Iterator[pa.Array]:
+    """A column of texts in slices of about ``PIECE_BYTES``; a longer text is one of its own."""
+    sizes = np.asarray(pc.binary_length(column).fill_null(0), np.int64)
+    groups = np.cumsum(sizes) // PIECE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(column)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield column.slice(a, b - a)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

@@ -9,6 +9,7 @@ offers grow by one a step, a set is done when all positions hold an earlier step
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import LOWER, map_batches, mixed, utf8, window_hashes, word_hashes, written
+from tideline.llm.common import LOWER, map_batches, mixed, pieces, utf8, window_hashes, word_hashes, written
 from tideline.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -105,8 +106,8 @@ def signed(df: DataFrame, key: str, text: str) -> DataFrame:
     The lanes hold four bits of each position, sixteen to a long.
     """
 
-    def run(batch: pa.RecordBatch) -> dict:
-        sets = [shingles(t) for t in utf8(batch.column(1))]
+    def sign(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+        sets = [shingles(t) for t in utf8(texts)]
         full = [i for i, s in enumerate(sets) if len(s)]
         sig = signatures([sets[i] for i in full])
         bands = np.zeros((len(full), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
@@ -117,17 +118,24 @@ def signed(df: DataFrame, key: str, text: str) -> DataFrame:
         take = np.full(len(sets), -1)
         take[full] = np.arange(len(full))
         take = pa.array(take, pa.int64(), mask=take < 0)
-        return {
-            "id": batch.column(0),
+        return pa.RecordBatch.from_pydict({
+            "id": ids,
             "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
             "cls": pa.array([set_class(sets[i]) for i in full], pa.int64()).take(take),
             "bands": _lists(bands.view(np.int64)).take(take),
             **{name: pa.array(lanes[:, i]).take(take) for i, name in enumerate(LANES)},
-        }
+        })
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in pieces(batch.column(1)):
+                yield sign(batch.column(0).slice(at, len(texts)), texts)
+                at += len(texts)
 
     kind = dict(df.dtypes)[key]
     schema = f"id {kind}, n_shingles bigint, cls bigint, bands array<bigint>, " + ", ".join(f"{n} bigint" for n in LANES)
-    return map_batches(df.select(key, text), run, schema)
+    return df.select(key, text).mapInArrow(run, schema)
 
 
 def _equal_positions() -> Column:
