@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +19,12 @@ from tideline.operators import (
     ngrams,
     pairs,
     spectral,
+    whole,
     windowed,
 )
 from tideline.plans import stocks, texts, tolls
-from tideline.sources import lines, sinks, tables
+from tideline.session import shared_dir
+from tideline.sources import lines, metrics, sinks, tables
 from tideline.streaming import native, panes, replay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -255,6 +259,39 @@ def evictor_delta(spark, d):
     return delta.evicted_delta_trigger(prices, ["symbol"], 6 * tables.HOUR_MS)
 
 
+@_query
+def absolute_delta_trigger(spark, d):
+    """A delta function of the user's own: the absolute difference."""
+    return whole.delta_trigger_where(tables.prices(spark, d), ["symbol"], lambda old, new: abs(old - new) > 25.0)
+
+
+def _gaps(rows):
+    """Median gap between the times of consecutive rows and longest run of rising prices."""
+    gaps, n, run, longest, last = Counter(), 0, 0, 0, None
+    for batch in rows:
+        for ms, price in zip(batch.column("ts_ms").to_pylist(), batch.column("price").to_pylist()):
+            run = run + 1 if last and price > last[1] else 1
+            if last:
+                gaps[ms - last[0]] += 1
+            n, longest, last = n + 1, max(longest, run), (ms, price)
+    middle, passed = [], 0
+    for gap in sorted(gaps):
+        passed += gaps[gap]
+        middle += [gap] * sum(passed - gaps[gap] <= at < passed for at in {(n - 2) // 2, (n - 1) // 2})
+    median = sum(middle) / len(middle) if middle else None
+    kinds = {"n": pa.int64(), "median_gap_ms": pa.float64(), "longest_rise": pa.int64()}
+    values = zip(kinds.items(), (n, median, longest))
+    yield pa.RecordBatch.from_pydict({k: pa.array([v], kind) for (k, kind), v in values})
+
+
+@_query
+def gaps_by_window(spark, d):
+    """The hook for user-written functions of a whole window."""
+    ticks = tables.prices(spark, d).withColumn("ts_ms", epoch_ms("event_time"))
+    schema = "n bigint, median_gap_ms double, longest_rise bigint"
+    return whole.window_apply(ticks, PRICE_WINDOW, ["symbol"], "arrival", _gaps, schema)
+
+
 # -- windowed functions on text and numbers --------------------------------------
 
 
@@ -288,6 +325,18 @@ def running_total(spark, d):
     return out.withColumns({"total": _r6("total"), "running": _r6("running")})
 
 
+@_query
+def observed_counts(spark, d):
+    """Rows per day next to the accumulators of the run that counted them."""
+    seen_rows, seen = metrics.watched(
+        tables.prices(spark, d),
+        records=F.count(F.lit(1)), dear=F.count_if(F.col("price") > 50), newest=F.max("arrival"),
+    )
+    path = shared_dir(spark, "observed")
+    windowed.window_count(seen_rows, PRICE_WINDOW).write.parquet(path)
+    return spark.read.parquet(path).withColumns({k: F.lit(v).cast("bigint") for k, v in seen.get.items()})
+
+
 @_query
 def counter_rates(spark, d):
     samples = tables.table(spark, d, "events").select(
@@ -600,3 +649,40 @@ def stream_mean_by_value(spark, d):
 @_query
 def stream_bigrams(spark, d):
     return _stream_function(spark, d, 1)
+
+
+@_query
+def stream_lines_to_csv(spark, d):
+    """Text files as a stream, parsed and appended to CSV files, which are read back."""
+    base = shared_dir(spark, "lines")
+    feed = _event_lines(spark, d, F.concat(F.lit("SYM"), "user_id"), "value", epoch_ms("ts"))
+    sinks.dump_text(feed, f"{base}/in")
+    prices = lines.stock_prices(lines.stream_lines(spark, f"{base}/in", max_files=8))
+    sinks.bounded_run(sinks.append_csv(prices, f"{base}/out", f"{base}/state")).awaitTermination()
+    return _zoneless(spark.read.schema(prices.schema).csv(f"{base}/out"))
+
+
+def _totals_of(spark, d, job):
+    native.use_rocksdb(spark)
+    return replay.once(tables.stream_table(spark, d, "events"), lambda events: job(tables.zoned(_feed_of(events))))
+
+
+def _feed_of(events):
+    return events.select("event_type", "value", F.col("ts").alias("event_time"))
+
+
+@_query
+def stream_running_total(spark, d):
+    """The last of the running totals of each key."""
+    out = _totals_of(spark, d, lambda s: panes.running_totals(s, ["event_type"], "value", DAY_MS, "Append"))
+    last = out.groupBy("event_type").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
+    return last.withColumn("total", _r6("total"))
+
+
+@_query
+def stream_processing_time(spark, d):
+    """Windows of processing time, which differ from run to run, added up."""
+    out = _totals_of(spark, d, lambda s: panes.processing_time_totals(s, ["event_type"], "value", 60_000))
+    last = out.groupBy("event_type", "processed_ms").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
+    sums = last.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return sums.withColumn("total", _r6("total"))

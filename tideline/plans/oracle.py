@@ -105,9 +105,11 @@ BIGRAMS = f"""{WORDS}, grams AS (
   FROM words), bigrams AS (SELECT bucket, ngram, count(*) AS n FROM grams GROUP BY ALL)"""
 
 
-def _recursive_delta(partition: str) -> str:
+MOVED = "CASE WHEN p.price = 0 THEN s.ref <> 0 ELSE abs(s.ref / p.price - 1) > 0.05 END"
+
+
+def _recursive_delta(partition: str, moved: str = MOVED) -> str:
     same = " AND ".join(f"p.{c} = s.{c}" for c in partition.split(", "))
-    moved = "CASE WHEN p.price = 0 THEN s.ref <> 0 ELSE abs(s.ref / p.price - 1) > 0.05 END"
     return f"""{PRICES}, p AS (
   SELECT *, row_number() OVER (PARTITION BY {partition} ORDER BY arrival) AS rn FROM prices),
 s AS (
@@ -120,6 +122,19 @@ s AS (
   FROM s JOIN p ON {same} AND p.rn = s.rn + 1)"""
 
 
+GAPS = f"""WITH {PRICES}, g AS (
+  SELECT window_start, window_end, symbol, arrival, ts_ms - lag(ts_ms) OVER w AS gap,
+         CASE WHEN price > lag(price) OVER w THEN 0 ELSE 1 END AS fresh
+  FROM prices WINDOW w AS (PARTITION BY symbol, window_start ORDER BY arrival)),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY symbol, window_start ORDER BY arrival) AS run FROM g),
+c AS (SELECT *, count(*) OVER (PARTITION BY symbol, window_start, run) AS len FROM r)
+SELECT symbol, window_start, window_end, count(*) AS n, CAST(median(gap) AS DOUBLE) AS median_gap_ms,
+       max(len) AS longest_rise FROM c GROUP BY ALL"""
+
+FEED_TOTALS = """SELECT event_type, count(*) AS n, round(sum(value), 6) + 0.0 AS total
+FROM events GROUP BY ALL"""
+
+
 def _dft(inverse: bool) -> str:
     sign, scale = ("-", " / n") if inverse else ("", "")
     return f"""WITH x AS (
@@ -295,6 +310,13 @@ def all_sql() -> dict[str, str]:
         "first_of_window": f"""WITH {PRICES} SELECT window_start, window_end, symbol,
             arg_min(price, arrival) AS price, arg_min(event_time, arrival) AS event_time
             FROM prices GROUP BY ALL""",
+        "absolute_delta_trigger": f"""WITH RECURSIVE {_recursive_delta('symbol', 'abs(s.ref - p.price) > 25')}
+            SELECT symbol, price, event_time, arrival FROM s WHERE fired""",
+        "gaps_by_window": GAPS,
+        "observed_counts": f"""SELECT {_win(DAY, 'ts')}, count(*) AS n, any_value(t.records) AS records,
+            any_value(t.dear) AS dear, any_value(t.newest) AS newest
+            FROM events, (SELECT count(*) AS records, count(*) FILTER (value > 50) AS dear,
+              max(event_id) AS newest FROM events) t GROUP BY 1, 2""",
         "delta_trigger": f"""WITH RECURSIVE {_recursive_delta('symbol')}
             SELECT symbol, price, event_time, arrival FROM s WHERE fired""",
         "window_delta_trigger": f"""WITH RECURSIVE {_recursive_delta('symbol, window_start')}
@@ -405,6 +427,10 @@ def all_sql() -> dict[str, str]:
                    epoch_us(window_start) // 1000 AS window_start_ms FROM warnings""",
         "stream_mean_by_value": MEAN_BY_VALUE,
         "stream_bigrams": WINDOW_BIGRAMS,
+        "stream_lines_to_csv": """SELECT 'SYM' || user_id AS symbol, value AS price,
+            (epoch_us(ts) // 1000) AS ts, make_timestamp((epoch_us(ts) // 1000) * 1000) AS event_time FROM events""",
+        "stream_running_total": FEED_TOTALS,
+        "stream_processing_time": FEED_TOTALS,
         "stream_delta_trigger": f"""WITH RECURSIVE {_recursive_delta('symbol')}
             SELECT symbol, price, event_time, arrival FROM s WHERE fired""",
         "text_lines": """SELECT conv_id, turn, CAST(length(text) + 3501 AS INTEGER) AS width, text,

@@ -24,6 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from tideline.functions.windows import epoch_ms
 from tideline.operators.delta import THRESHOLD, _moved
+from tideline.sources.lines import with_arrival_time
 
 START = "window_start_ms"
 
@@ -385,12 +386,27 @@ class _Running(StatefulProcessor):
         pass
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], value: str, window_ms: int) -> DataFrame:
-    """Rows and total of each key so far, once per trigger in which it changed."""
+def running_totals(
+    df: DataFrame, keys: Sequence[str], value: str, window_ms: int, mode: str = "Update"
+) -> DataFrame:
+    """Rows and total of each key so far, once per trigger in which it changed.
+
+    As ``Append`` every total is a row of its own, which file sinks take.
+    """
     summed = presummed(df, keys, window_ms, value)
     out = T.StructType([summed.schema[c] for c in keys] + [
         T.StructField("n", T.LongType()), T.StructField("total", T.DoubleType()),
     ])
     return summed.groupBy(*keys).transformWithStateInPandas(
-        _Running(list(keys)), out, "Update", "None"
+        _Running(list(keys)), out, mode, "None"
     )
+
+
+def processing_time_totals(df: DataFrame, keys: Sequence[str], value: str, window_ms: int) -> DataFrame:
+    """Running rows and total per key and window of the time at which rows are processed.
+
+    The window a row falls in depends on the run; all rows are in exactly one.
+    """
+    ms = epoch_ms("arrival_time")
+    stamped = with_arrival_time(df).withColumn("processed_ms", ms - F.pmod(ms, F.lit(window_ms)))
+    return running_totals(stamped, [*keys, "processed_ms"], value, window_ms, "Append")
