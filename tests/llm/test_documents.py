@@ -13,8 +13,8 @@ import zstandard
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import awkward_rows, documents, prose
-from tideline.llm import compression, licenses, packing, spans, superminhash, transducer
-from tideline.llm.common import tokenizer_file
+from tideline.llm import compression, licenses, packing, spans, superminhash, tokens, transducer
+from tideline.llm.common import map_batches, tokenizer_file
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -259,3 +259,54 @@ def test_common_words_by_bits():
             for j, q in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if p == q else max(table[i][j + 1], table[i + 1][j])
         assert licenses.common_words(a, b) == table[-1][-1]
+
+
+def test_batches_cut_by_their_texts(spark):
+    """A call of a batch function sees about PIECE_BYTES of text, and every row once."""
+    rows = [(i, "x" * 3_000_000 if i % 4 else None) for i in range(12)]
+    df = documents(spark, rows).select("doc_id", "text").coalesce(1)
+    got = map_batches(df, lambda b: {"ids": [b.column(0).to_pylist()]}, "ids array<bigint>", "text").collect()
+    assert sorted(i for r in got for i in r.ids) == list(range(12))
+    assert max(sum(1 for i in r.ids if i % 4) for r in got) <= 2
+
+
+def test_license_runs_only_of_template_words(spark, monkeypatch):
+    made = []
+    real = licenses.map_batches
+
+    def spy(df, fn, schema, *text):
+        out = real(df, fn, schema, *text)
+        if schema.startswith("row_key"):
+            made.append(out)
+        return out
+
+    monkeypatch.setattr(licenses, "map_batches", spy)
+    rows = [(1, "zzz all rights reserved qqq the software vvv"), (2, "zzz qqq vvv www"), (3, "the"), (4, None)]
+    found = licenses.scan(documents(spark, rows)).collect()
+    assert {r.doc_id: r.labels for r in found} == {1: "all-rights-reserved", 2: "", 3: "", 4: ""}
+    assert [r.pos for r in made[0].collect()] == [1]
+
+
+def test_capitals_and_marks_of_words_known():
+    """Ids as by the library, which is not asked again for known words in capitals or with marks."""
+    path = tokenizer_file("word_bpe_49k.json")
+    enc, asked = tokens.WordEncoder(path), []
+    library = enc.tokenizer
+
+    class Spy:
+        def encode(self, text, **kw):
+            asked.append(text)
+            return library.encode(text, **kw)
+
+        def encode_batch(self, texts, **kw):
+            asked.extend(texts)
+            return library.encode_batch(texts, **kw)
+
+    enc.tokenizer = Spy()
+    for t in (", . )", "élan été", "Élan ÉTÉ élan, (élan) Élan. x<|endoftext|> É) 5) É5."):
+        want = np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert enc.encode(t.encode()) == want
+    asked.clear()
+    t = "Élan ÉTÉ été. Élan) élan"
+    assert enc.encode(t.encode()) == np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert not asked

@@ -39,12 +39,17 @@ def tokenizer_file(name: str) -> str:
 
 
 def map_batches(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object] | None], schema: str
+    df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object] | None], schema: str,
+    text: str | None = None,
 ) -> DataFrame:
-    """``fn`` of each Arrow batch, as columns by name."""
+    """``fn`` of each Arrow batch, as columns by name.
+
+    With the name of a column of texts, a batch is cut into slices of about
+    ``PIECE_BYTES`` of it, so that what ``fn`` makes of one stays small.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, text) if text else batches:
             out = fn(batch)
             if out is not None:
                 yield pa.RecordBatch.from_pydict(out)
@@ -81,6 +86,15 @@ def pieces(column: pa.Array) -> Iterator[pa.Array]:
             yield column.slice(a, b - a)
 
 
+def slices(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """Batches cut as ``pieces`` cuts their column of texts."""
+    for batch in batches:
+        at = 0
+        for part in pieces(batch.column(text)):
+            yield batch.slice(at, len(part))
+            at += len(part)
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """Texts as bytes, without decoding them."""
     return column.cast(pa.binary()).to_pylist()

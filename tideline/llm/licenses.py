@@ -79,18 +79,28 @@ def template_places(spark: SparkSession, templates) -> DataFrame:
 def spans(df: DataFrame, templates=TEMPLATES) -> DataFrame:
     """(row_key, template, first_word, end_word, votes) of merged diagonals in ``df`` (row_key, text)."""
 
+    known = sorted({w for _, text in templates for w in words_of(text.encode())})
+    hashes = dict(zip(known, word_hashes(known).tolist()))
+
     def grams(batch: pa.RecordBatch) -> dict:
-        each = [window_hashes(word_hashes(words_of(t)), GRAM) for t in utf8(batch.column(1))]
-        sizes = np.array([len(g) for g in each], np.int64)
-        at = np.repeat(np.arange(len(each)), sizes)
-        place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        """Runs all of whose words are in some template; no other has a place there."""
+        each, ats, places = [], [], []
+        for at, t in enumerate(utf8(batch.column(1))):
+            words = words_of(t)
+            made = np.fromiter((hashes.get(w, 0) for w in words), np.uint64, len(words))
+            have, n = made != 0, max(0, len(made) - GRAM + 1)
+            starts = np.flatnonzero(np.logical_and.reduce([have[i : i + n] for i in range(GRAM)]))
+            each.append(window_hashes(made, GRAM)[starts])
+            ats.append(np.full(len(starts), at))
+            places.append(starts)
+        empty = np.empty(0, np.int64)
         return {
-            "row_key": batch.column(0).take(pa.array(at)),
-            "pos": place.astype(np.int32),
-            "h": np.concatenate([*each, np.empty(0, np.uint64)]).view(np.int64),
+            "row_key": batch.column(0).take(pa.array(np.concatenate([empty, *ats]))),
+            "pos": np.concatenate([empty, *places]).astype(np.int32),
+            "h": np.concatenate([np.empty(0, np.uint64), *each]).view(np.int64),
         }
 
-    runs = map_batches(df.select("row_key", "text"), grams, "row_key bigint, pos int, h bigint")
+    runs = map_batches(df.select("row_key", "text"), grams, "row_key bigint, pos int, h bigint", "text")
     places = template_places(df.sparkSession, templates)  # of fixed size: broadcast
     hits = runs.join(F.broadcast(places), "h")
     diagonals = hits.groupBy("row_key", "template", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
@@ -160,4 +170,4 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPL
         columns = list(zip(*rows)) or [[]] * 8
         return {key: batch.column(0)} | {n: pa.array(c, t) for n, c, t in zip(names, columns, kinds)}
 
-    return map_batches(joined, verify, f"`{key}` {kind}, {SCHEMA}")
+    return map_batches(joined, verify, f"`{key}` {kind}, {SCHEMA}", "text")
