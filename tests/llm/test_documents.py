@@ -104,6 +104,33 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r.kept for r in got if r.doc_id is None)
 
 
+def test_operators_empty_what_others_have_kept():
+    """A worker that has packed texts does not hold their words while it does other work."""
+    encoder = tokens.encoder(tokenizer_file("word_bpe_49k.json"))
+
+    class Caught:
+        dtypes = [("id", "bigint"), ("doc_id", "bigint"), ("text", "string")]
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            self.run = run
+
+    def works(make):
+        frame = Caught()
+        make(frame)
+        encoder.encode(b"some words that stay")
+        assert encoder.young
+        list(frame.run(iter([])))
+        return not encoder.young and not encoder.old
+
+    assert works(lambda df: superminhash.signed(df, "doc_id", "text"))
+    assert works(lambda df: spans.span_hashes(df, 3, 8))
+    assert works(lambda df: map_batches(df, lambda batch: None, "doc_id bigint"))
+    assert encoder.encode(b"some words") == encoder.encode(b"some words")
+
+
 def test_near_duplicates_of_nothing(nothing):
     assert superminhash.near_duplicates(nothing).collect() == []
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from weakref import WeakSet
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,7 @@ def map_batches(
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in slices(batches, text) if text else batches:
             out = fn(batch)
             if out is not None:
@@ -67,6 +69,7 @@ def filter_batches(df: DataFrame, text: str, keep: Callable[[list], list[bool]],
 
     @F.arrow_udf("boolean")
     def good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()
         for column in batches:
             verdicts = []
             for part in pieces(column):
@@ -133,12 +136,19 @@ class Generations(dict):
         return value
 
 
-WORD_HASH = Cache(xxhash.xxh64_intdigest)
+#: What this process keeps from task to task and can ``forget``.
+KEPT: WeakSet = WeakSet()
+
+
+def forget() -> None:
+    """Empties what tasks of other operators have left: a Python worker serves one after another."""
+    for kept in list(KEPT):
+        kept.forget()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of the words, in order."""
-    return np.fromiter(map(WORD_HASH.__getitem__, words), np.uint64, len(words))
+    """64-bit hashes of the words, in order; to make one is cheaper than to look it up."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

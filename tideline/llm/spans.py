@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tideline.llm.common import LOWER, utf8, window_hashes
+from tideline.llm.common import LOWER, forget, utf8, window_hashes
 
 SPAN_SENTENCES = 3
 #: Runs with fewer words are too common to be copies.
@@ -67,6 +67,7 @@ def span_hashes(docs: DataFrame, size: int, min_words: int) -> DataFrame:
     """(id, h): each different run of each text."""
 
     def run(batches):
+        forget()
         for batch in batches:
             ids, out = [], []
             for i, t in enumerate(utf8(batch.column(1))):
@@ -132,6 +133,7 @@ def drop_repeated_spans(
     at = df.columns.index(text)
 
     def clean(batches):
+        forget()
         for batch in batches:
             texts = utf8(batch.column(at))
             rows = [

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import LOWER, map_batches, mixed, pieces, utf8, window_hashes, word_hashes, written
+from tideline.llm.common import LOWER, forget, map_batches, mixed, pieces, utf8, window_hashes, word_hashes, written
 from tideline.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -127,6 +127,7 @@ def signed(df: DataFrame, key: str, text: str) -> DataFrame:
         })
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             at = 0
             for texts in pieces(batch.column(1)):

@@ -10,7 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from tideline.llm.common import BLANKS, LOWER
+from tideline.llm.common import BLANKS, KEPT, LOWER
 from tideline.llm.transducer import byte_symbols
 
 #: Words that a process remembers in each of two generations.
@@ -93,6 +93,11 @@ class WordEncoder:
         # plain dicts of bytes, which Python's garbage collector passes over
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        KEPT.add(self)
+
+    def forget(self) -> None:
+        """Drops the words, not the tokenizer."""
+        self.young, self.old = {}, {}
 
     def _whole(self, text: bytes) -> list[int]:
         return self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -141,5 +146,5 @@ class WordEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    """The encoder of this process, with what it remembers from earlier tasks."""
+    """The encoder of this process, with what it remembers from earlier tasks of its operator."""
     return WordEncoder(path)
